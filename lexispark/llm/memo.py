@@ -1,0 +1,51 @@
+"""Encoding by memo: a text falls into space-led segments that every pattern here treats alone, and few of them are new.
+
+In both public byte-level patterns no match holds a non-space before a white space, so a text may be cut before any space that
+follows a non-space, and each segment encoded alone gives the ids that the whole text gives.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable, Iterable
+
+#: Entries held by one worker before it starts anew, and the longest segment that is worth holding.
+HELD, LONGEST = 600_000, 48
+
+
+def segments(text: str) -> list[str]:
+    """The first segment, then those after it without their leading space. Joined by spaces they are the text."""
+    parts = text.split(" ")
+    if not any(not p or p[-1].isspace() for p in parts[:-1]):
+        return parts
+    out = parts[:1]
+    for p in parts[1:]:
+        last = out[-1]
+        if (last and last[-1].isspace()) or (not last and len(out) > 1):
+            out[-1] = f"{last} {p}"
+        else:
+            out.append(p)
+    return out
+
+
+class Memo:
+    """Values of segments, computed once for each distinct segment that a worker meets (until the memo is full)."""
+
+    def __init__(self, many: Callable[[list[str]], Iterable], held: int = HELD):
+        self.many, self.held, self.first, self.later = many, held, {}, {}
+        self._long: tuple[list[str], list[str]] = ([], [])
+
+    def load(self, texts: list[list[str]]) -> None:
+        """Makes sure that every segment of these texts has a value; long segments stay for this call only."""
+        new = ({t[0] for t in texts}, {p for t in texts for p in t[1:]})
+        for memo, lead, parts, long in zip((self.first, self.later), ("", " "), new, self._long, strict=True):
+            for p in long:
+                memo.pop(p, None)
+            if len(memo) > self.held:
+                memo.clear()
+            missing = [p for p in parts if p not in memo]
+            if missing:
+                memo.update(zip(missing, self.many([lead + p for p in missing]), strict=True))
+            long[:] = [p for p in missing if len(p) > LONGEST]
+
+    def values(self, parts: list[str]) -> list:
+        return [self.first[parts[0]], *map(self.later.__getitem__, parts[1:])]
