@@ -25,7 +25,7 @@ from .common import batch, map_arrow
 
 COMMON, GUARD_WORDS, MAX_LANGUAGES = 64, 60, 64
 #: Greatest distance from the nearest language that is kept: of character classes, and of common words.
-MOST_CLASSES, MOST_WORDS = 0.22, 0.5
+MOST_CLASSES, MOST_WORDS = 0.25, 0.28
 #: Words that a task holds per language before it drops the rarest, and returns.
 HELD, RETURNED = 200_000, 2_000
 
