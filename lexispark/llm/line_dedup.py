@@ -75,10 +75,11 @@ def lines(docs: DataFrame, least_tokens: int = LEAST_TOKENS, depth: int = DEPTH,
 def recurring(docs: DataFrame, least_docs: int = LEAST_DOCS, least_tokens: int = LEAST_TOKENS, depth: int = DEPTH, fields: int = FIELDS, constant: float = CONSTANT) -> DataFrame:
     """key, at: the line numbers to drop, one row for each document that loses a line."""
     found = cut(lines(docs, least_tokens, depth, fields))
-    each = cut(found.groupBy("leaf", "line").agg(F.count("*").alias("n_docs"), F.first("fields").alias("fields")))
-    # Leaves with several lines that together occur often enough, and the support of each field value in them.
+    each = found.groupBy("leaf", "line").agg(F.count("*").alias("n_docs"))
+    # Leaves with several lines that together occur often enough, and the support of each field value in them. Only their fields move.
     rich = each.groupBy("leaf").agg(F.sum("n_docs").alias("n"), F.count("*").alias("n_lines")).filter((F.col("n") >= least_docs) & (F.col("n_lines") > 1)).select("leaf")
-    spread = each.join(rich, "leaf", "left_semi").select("leaf", "line", "n_docs", F.size("fields").alias("k"), F.posexplode("fields").alias("place", "value"))
+    inside = cut(found.select("leaf", "line", "fields").join(rich, "leaf", "left_semi").groupBy("leaf", "line").agg(F.count("*").alias("n_docs"), F.first("fields").alias("fields")))
+    spread = inside.select("leaf", "line", "n_docs", F.size("fields").alias("k"), F.posexplode("fields").alias("place", "value"))
     support = spread.groupBy("leaf", "place", "value").agg(F.sum("n_docs").alias("s")).filter(F.col("s") >= least_docs).drop("s")
     kept = spread.join(support, ["leaf", "place", "value"]).groupBy("leaf", "line").agg(F.count("*").alias("n_kept"), F.max("k").alias("k"), F.sum(F.xxhash64("place", "value").cast("decimal(38,0)")).alias("shape"))
     templates = kept.filter(F.col("n_kept") >= constant * F.col("k")).select("leaf", "line", F.xxhash64(F.lit(1), "leaf", "shape").alias("template"))
