@@ -13,6 +13,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import re
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -51,7 +52,7 @@ def encoding(path: str):
 @lru_cache(4)
 def memo(path: str) -> Memo:
     enc = encoding(path)
-    return Memo(lambda texts: [np.array(x, "<u4").tobytes() for x in enc.encode_ordinary_batch(texts, num_threads=1)])
+    return Memo(lambda texts: [array("I", enc.encode_ordinary(x)).tobytes() for x in texts])
 
 
 @lru_cache(2)
@@ -84,7 +85,7 @@ def encode_chunk(text: str, begin: int, whole: bool, path: str) -> tuple[np.ndar
     pieces = [text[a:b] for a, b in spans]
     missing = [p for p in dict.fromkeys(pieces) if p not in held]
     if missing:
-        held.update(zip(missing, (np.array(x, "<u4").tobytes() for x in encoding(path).encode_ordinary_batch(missing, num_threads=1)), strict=True))
+        held.update(zip(missing, (array("I", encoding(path).encode_ordinary(x)).tobytes() for x in missing), strict=True))
     ids = [held[p] for p in pieces]
     return np.array([a + begin for a, _ in spans] + [spans[-1][1] + begin if spans else begin], "<i8"), np.array([len(x) // 4 for x in ids], "<i4"), b"".join(ids)
 
@@ -170,13 +171,17 @@ def encode(docs: DataFrame, path: str | None = None, chunk: int = CHUNK, overlap
 
 
 def decode(ids: np.ndarray, path: str | None = None) -> bytes:
-    table = _bytes_of(path or default_path())
-    return b"".join([table[i] for i in ids.tolist()])
+    return b"".join(_tables(path or default_path())[0][ids].tolist())
 
 
 @lru_cache(4)
-def _bytes_of(path: str) -> dict[int, bytes]:
-    return {i: b for b, i in ranks(path).items()}
+def _tables(path: str) -> tuple[np.ndarray, np.ndarray]:
+    """Raw bytes and decimal digits of each id, as arrays of objects."""
+    of = ranks(path)
+    raw, said = (np.empty(max(of.values()) + 1, object) for _ in range(2))
+    for b, i in of.items():
+        raw[i], said[i] = b, b"%d" % i
+    return raw, said
 
 
 def digests(encoded: DataFrame, path: str | None = None) -> DataFrame:
@@ -184,12 +189,11 @@ def digests(encoded: DataFrame, path: str | None = None) -> DataFrame:
     path = path or default_path()
 
     def run(batches):
-        table = _bytes_of(path)
-        said = {i: str(i) for i in table}
+        raw, said = _tables(path)
         for b in batches:
-            ids = [np.frombuffer(x, "<u4").tolist() for x in b.column("ids").to_pylist()]
-            a = [hashlib.sha256(" ".join([said[i] for i in x]).encode()).hexdigest() for x in ids]
-            d = [hashlib.sha256(b"".join([table[i] for i in x])).hexdigest() for x in ids]
+            ids = [np.frombuffer(x, "<u4") for x in b.column("ids").to_pylist()]
+            a = [hashlib.sha256(b" ".join(said[x].tolist())).hexdigest() for x in ids]
+            d = [hashlib.sha256(b"".join(raw[x].tolist())).hexdigest() for x in ids]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("n_tokens"), pa.array(a, pa.string()), pa.array(d, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return map_arrow(encoded, run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
