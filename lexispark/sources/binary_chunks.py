@@ -55,7 +55,8 @@ def read(spark: SparkSession, folder: str, mode: str = "PERMISSIVE") -> DataFram
         for b in batches:
             for name, data in zip(b["path"], b["content"], strict=True):
                 found = list(decode(data, mode))
-                yield pd.DataFrame({"path": [name] * len(found), "word": [w for w, _ in found], "rank": [r for _, r in found]})
+                if found:
+                    yield pd.DataFrame({"path": [name] * len(found), "word": [w for w, _ in found], "rank": [r for _, r in found]})
 
     raw = spark.read.format("binaryFile").option("pathGlobFilter", "dict_*.bin").load(folder).select("path", "content")
     rows = raw.mapInPandas(run, "path string, word string, rank long")
