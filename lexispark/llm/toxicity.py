@@ -18,8 +18,9 @@ from __future__ import annotations
 import math
 import re
 import unicodedata
+from bisect import bisect_right
 from dataclasses import dataclass, field
-from functools import lru_cache
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -101,8 +102,10 @@ def matches(text: str, automaton) -> tuple[float, list[tuple[int, int, float]]]:
             a, b = last + 1 - length, last + 1
             if (a == 0 or not low[a - 1].isalpha()) and (b == n or not low[b].isalpha()):
                 (free if w is None else found).append((a, b, w))
-    if free:
-        found = [x for x in found if not any(a <= x[0] and x[1] <= b for a, b, _ in free)]
+    if free and found:
+        free.sort()
+        begins, ends = [x[0] for x in free], list(accumulate((x[1] for x in free), max))
+        found = [x for x in found if not (k := bisect_right(begins, x[0])) or ends[k - 1] < x[1]]
     if not found:
         return 0.0, []
     return math.log1p(100 * sum(x[2] for x in found) / max(20, len(low.split()))), found
