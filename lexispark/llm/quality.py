@@ -21,13 +21,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import batch, map_arrow
+from .common import batch, cut, map_arrow
 
-COMMON, GUARD_WORDS, MAX_LANGUAGES = 64, 60, 64
+COMMON, GUARD_WORDS = 64, 60
 #: Greatest distance from the nearest language that is kept: of character classes, and of common words.
 MOST_CLASSES, MOST_WORDS = 0.25, 0.28
-#: Words that a task holds per language before it drops the rarest, and returns.
-HELD, RETURNED = 200_000, 2_000
+#: Different words that a task holds before it sends their counts on.
+HELD = 200_000
 
 _GROUPS = ("abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789", " \t", "\n\r\v\f", ".,;:?", "!", "'\"()[]{}-_/", "#*$%&|<>")
 _CLASS = np.full(256, len(_GROUPS) + 1)
@@ -85,40 +85,42 @@ class References:
     words: list[dict[bytes, float]]
 
 
-def learn(docs: DataFrame, common: int = COMMON) -> References:
-    """References from all documents. Each task returns a bounded number of its most frequent words per language."""
+def learn(docs: DataFrame, common: int = COMMON, held: int = HELD) -> References:
+    """References of every language from all documents, by exact counts. A task sends its counts on whenever it holds `held` words."""
 
     def run(batches):
         classes: dict[str | None, np.ndarray] = {}
         words: dict[str | None, Counter] = {}
+
+        def counts():
+            items = [(x, "class", b"%d" % k, int(n)) for x, c in classes.items() for k, n in enumerate(c) if n]
+            items += [(x, "word", w, n) for x, c in words.items() for w, n in c.items()]
+            return batch(["lang", "kind", "item", "n"], [pa.string(), pa.string(), pa.binary(), pa.int64()], list(map(list, zip(*items, strict=True))) or [[]] * 4)
+
         for b in batches:
             for text, lang in zip(b.column("text").to_pylist(), b.column("lang").to_pylist(), strict=True):
                 raw = (text or "").encode()
                 classes[lang] = classes.get(lang, 0) + np.bincount(np.frombuffer(raw, "u1"), minlength=256) @ _CLASS_OF
-                held = words.setdefault(lang, Counter())
-                held.update(plain_words(raw))
-                if len(held) > HELD:
-                    words[lang] = Counter(dict(held.most_common(HELD // 4)))
-        for lang, held in words.items():
-            top = held.most_common(RETURNED)
-            rest = sum(held.values()) - sum(n for _, n in top)
-            items = [(f"c{k}".encode(), int(n)) for k, n in enumerate(classes[lang])] + [(b"w" + w, n) for w, n in top] + [(b"r", rest)]
-            yield batch(["lang", "item", "n"], [pa.string(), pa.binary(), pa.int64()], [[lang] * len(items), [x for x, _ in items], [n for _, n in items]])
-
-    sums = map_arrow(docs.select("text", "lang"), run, "lang string, item binary, n long").groupBy("lang", "item").agg(F.sum("n").alias("n"))
-    kind = F.substring(F.hex("item"), 1, 2)
-    sums = sums.withColumn("kind", kind).withColumn("total", F.sum(F.when(kind != "63", F.col("n"))).over(W.partitionBy("lang")))
-    ranked = sums.filter(kind == "77").withColumn("r", F.row_number().over(W.partitionBy("lang").orderBy(F.desc("n"), "item"))).filter(F.col("r") <= common)
-    size = W.orderBy(F.desc("total"), F.col("lang").asc_nulls_first())
-    largest = sums.filter(kind == "72").withColumn("l", F.row_number().over(size)).filter(F.col("l") <= MAX_LANGUAGES).collect()
-    names = {r["lang"]: i for i, r in enumerate(largest)}
-    classes, words = [np.zeros(_N_CLASSES) for _ in names], [{} for _ in names]
-    for r in sums.filter(kind == "63").drop("kind", "total").collect() if len(names) < MAX_LANGUAGES else []:
-        classes[names[r["lang"]]][int(bytes(r["item"])[1:])] = r["n"]
+                words.setdefault(lang, Counter()).update(plain_words(raw))
+                if sum(map(len, words.values())) > held:
+                    yield counts()
+                    classes, words = {}, {}
+        yield counts()
+
+    sums = map_arrow(docs.select("text", "lang"), run, "lang string, kind string, item binary, n long").groupBy("lang", "kind", "item").agg(F.sum("n").alias("n"))
+    sums = cut(sums)
+    of_words = sums.filter("kind = 'word'")
+    totals = {r["lang"]: r["n"] for r in of_words.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
+    classes: dict[str | None, np.ndarray] = {}
+    for r in sums.filter("kind = 'class'").collect():
+        classes.setdefault(r["lang"], np.zeros(_N_CLASSES))[int(r["item"])] = r["n"]
+    # The rank's bound goes below the exchange: each task sends on `common` words a language.
+    ranked = of_words.withColumn("r", F.row_number().over(W.partitionBy("lang").orderBy(F.desc("n"), "item"))).filter(F.col("r") <= common)
+    words: dict[str | None, dict[bytes, float]] = {}
     for r in ranked.collect():
-        if r["lang"] in names:
-            words[names[r["lang"]]][bytes(r["item"])[1:]] = r["n"] / max(1, r["total"])
-    return References([c / c.sum() for c in classes if c.sum()], [w for w, c in zip(words, classes, strict=True) if c.sum()])
+        words.setdefault(r["lang"], {})[bytes(r["item"])] = r["n"] / totals[r["lang"]]
+    names = sorted(classes, key=lambda x: (-totals.get(x, 0), x is not None, x or ""))
+    return References([classes[x] / classes[x].sum() for x in names], [words.get(x, {}) for x in names])
 
 
 def divergence(p: np.ndarray, q: np.ndarray) -> float:

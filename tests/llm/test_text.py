@@ -27,6 +27,7 @@ def test_toxicity_folds_and_exceptions():
     assert n("IDIOT") == n("1d10t") == n("іdiоt") == n("\U0001d4f2\U0001d4ed\U0001d4f2ot") == n("id​iot") == n("idi0t!") == 1
     assert n("idiotic") == n("xidiot") == n("the trash can") == n("") == 0
     assert n("the trash can is trash") == 1
+    assert n("trash can trash " * 50_000) == 50_000 and n("trash can " * 50_000) == 0
     assert lexicon.score(toxicity.matches("you idiot", auto)[0]) > 0.5 > lexicon.score(0.0)
 
 
@@ -75,6 +76,21 @@ def test_quality_edges(docs, edges, nothing):
     assert quality.learn(df).classes
 
 
+def test_quality_references_are_exact(spark, nothing):
+    """Counts sent on in parts add up to those of all texts, for every language; nulls are a language of their own."""
+    rows = [(i, f"the {'of' if i % 2 else 'and'} Word{i % 7}, w{i}!", f"l{i % 90}" if i % 3 else None, "x") for i in range(900)] + [(None, None, "empty", "x")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, n string").repartition(3)
+    for held in (1, 10, 1_000_000):
+        refs = quality.learn(df, common=5, held=held)
+        want = []
+        for lang in {r[2] for r in rows} - {"empty"}:
+            c = Counter(w for r in rows if r[2] == lang for w in quality.plain_words(r[1].encode()))
+            want.append({w: n / c.total() for w, n in sorted(c.items(), key=lambda x: (-x[1], x[0]))[:5]})
+        key = lambda d: sorted(d.items())
+        assert sorted(map(key, refs.words)) == sorted(map(key, want)) and len(refs.classes) == 61
+        assert all(abs(c.sum() - 1) < 1e-9 for c in refs.classes)
+
+
 def test_divergence():
     p, q = np.array([1.0, 0.0]), np.array([0.0, 1.0])
     assert quality.divergence(p, q) == 1 and quality.divergence(p, p) == 0
