@@ -26,6 +26,8 @@ from .common import batch, map_arrow
 from .memo import Memo, segments
 
 CHUNK, OVERLAP = 32_768, 256
+#: Segments, and pieces of long texts, that a worker holds before it starts anew; they may lie in one process.
+HELD, HELD_PIECES = 250_000, 150_000
 _BREAK = re.compile(r"\S[ \n]")
 
 
@@ -52,7 +54,7 @@ def encoding(path: str):
 @lru_cache(4)
 def memo(path: str) -> Memo:
     enc = encoding(path)
-    return Memo(lambda texts: [array("I", enc.encode_ordinary(x)).tobytes() for x in texts])
+    return Memo(lambda texts: [array("I", enc.encode_ordinary(x)).tobytes() for x in texts], HELD)
 
 
 @lru_cache(2)
@@ -80,7 +82,7 @@ def encode_chunk(text: str, begin: int, whole: bool, path: str) -> tuple[np.ndar
         while spans and spans[-1][1] >= len(text) - 1:
             spans.pop()
     held = _pieces(path)
-    if len(held) > 400_000:
+    if len(held) > HELD_PIECES:
         held.clear()
     pieces = [text[a:b] for a, b in spans]
     missing = [p for p in dict.fromkeys(pieces) if p not in held]
