@@ -12,6 +12,7 @@ names and sizes are in a manifest. Null texts count as empty.
 from __future__ import annotations
 
 import os
+import re
 import struct
 import uuid
 import zlib
@@ -24,7 +25,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import batch, cut, map_arrow, parts_for, shared_folder
-from .memo import Memo, segments
+from .memo import HELD, LONGEST, Memo
 
 INDEX_MAGIC, TABLE_MAGIC, SEEKABLE_MAGIC = 0x184D2A50, 0x184D2A5E, 0x8F92EAB1
 FRAME_BYTES, FILE_BYTES, DOCS_PER_FILE = 1 << 18, 256 << 20, 4096
@@ -135,6 +136,72 @@ def open_reader(uri: str):
     return Reader(read, source.size())
 
 
+#: Signs that may follow a word; a run of them is a piece of its own, whatever letter or digit stands before it.
+_TAIL = ".,;:!?)]}\""
+#: Letters that stay one letter in any form, and those and digits.
+_LATIN = re.compile("[A-Za-zªµºÀ-ÖØ-öø-įı-ɏ]+")
+_BEFORE_TAIL = re.compile("[A-Za-z0-9ªµºÀ-ÖØ-öø-įı-ɏ]")
+#: White space of str.split() that the tokenizer takes for signs.
+_NOT_SPACE = "\x1c\x1d\x1e\x1f"
+#: Words of one call, so that its offsets and pieces stay small.
+_AT_ONCE = 8192
+
+
+class _Words:
+    """Packed ids of words, by way of their forms without trailing signs and, if the tokenizer lower-cases, in lower case.
+
+    Plain words (Latin letters only) are one piece each, so many are encoded as one text, whose ids are parted after each token that
+    ends a word. Words longer than the memo holds are encoded alone. Only plain words are lower-cased here: other words could turn
+    into special strings, or their marks compose otherwise than in the tokenizer's own order.
+    """
+
+    def __init__(self, tokenizer, dtype: str):
+        self.tokenizer, self.dtype, self.held = tokenizer, dtype, {"": b""}
+        vocabulary = tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+        self.lowers = tokenizer.normalizer is not None and tokenizer.normalizer.normalize_str("AZ") == "az"
+
+    def pack(self, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, self.dtype).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def form(self, word: str) -> tuple[str, str]:
+        """The word as it is looked up, and the signs after it."""
+        stem = word.rstrip(_TAIL)
+        tail = word[len(stem) :]
+        if tail and not (stem and _BEFORE_TAIL.match(stem[-1])):
+            stem, tail = word, ""
+        return (stem.lower() if self.lowers and stem.isascii() and stem.isalpha() else stem), tail
+
+    def plain(self, words: list[str]) -> list[bytes]:
+        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, self.dtype)
+        cuts = ((np.flatnonzero(self.ends[ids]) + 1) * ids.itemsize).tolist()
+        if len(cuts) != len(words):
+            return self.pack(words)
+        raw = ids.tobytes()
+        return [raw[a:b] for a, b in zip([0, *cuts], cuts, strict=False)]
+
+    def many(self, words: list[str]) -> list[bytes]:
+        held, words = self.held, [w.lstrip(" ") for w in words]
+        if len(held) > HELD:
+            held.clear()
+            held[""] = b""
+        forms = [self.form(w) if len(w) <= LONGEST else None for w in words]
+        new = {x for f in forms if f for x in f if x not in held}
+        plain = [x for x in new if _LATIN.fullmatch(x)]
+        for k in range(0, len(plain), _AT_ONCE):
+            some = plain[k : k + _AT_ONCE]
+            held.update(zip(some, self.plain(some), strict=True))
+        other = list(new.difference(plain))
+        held.update(zip(other, self.pack(other), strict=True))
+        alone = iter(self.pack([w for w, f in zip(words, forms, strict=True) if f is None]))
+        return [held[f[0]] + held[f[1]] if f else next(alone) for f in forms]
+
+
+def _split(text: str) -> list[str]:
+    return (text.split(" ") if any(c in text for c in _NOT_SPACE) else text.split()) or [""]
+
+
 @lru_cache(2)
 def _encoder(path: str, dtype: str):
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -142,11 +209,11 @@ def _encoder(path: str, dtype: str):
 
     tokenizer = Tokenizer.from_file(path)
     special = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
-    pack = lambda texts: [np.array(e.ids, dtype).tobytes() for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    words = _Words(tokenizer, dtype)
     # The pattern drops white space, so no piece crosses it and a segment needs no leading space.
-    memo = Memo(pack)
+    memo = Memo(words.many)
     memo.later = memo.first
-    return memo, special, pack
+    return memo, special, words.pack
 
 
 def default_path() -> str:
@@ -165,7 +232,7 @@ def encode(docs: DataFrame, path: str | None = None, end_id: int = END_ID, dtype
         for b in batches:
             texts = b.column("text").to_pylist()
             whole = {i for i, t in enumerate(texts) if any(s in t for s in special)}
-            parts = [[""] if i in whole else t.split(" ") for i, t in enumerate(texts)]
+            parts = [[""] if i in whole else _split(t) for i, t in enumerate(texts)]
             memo.load(parts)
             ids = [b"".join([*(pack([texts[i]]) if i in whole else memo.values(p)), end]) for i, p in enumerate(parts)]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(ids, pa.binary())], names=["doc_id", "ids"])
