@@ -11,6 +11,7 @@ names and sizes are in a manifest. Null texts count as empty.
 
 from __future__ import annotations
 
+import gc
 import os
 import re
 import struct
@@ -20,12 +21,13 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import batch, cut, map_arrow, parts_for, shared_folder
-from .memo import HELD, LONGEST, Memo
+from .memo import LONGEST
 
 INDEX_MAGIC, TABLE_MAGIC, SEEKABLE_MAGIC = 0x184D2A50, 0x184D2A5E, 0x8F92EAB1
 FRAME_BYTES, FILE_BYTES, DOCS_PER_FILE = 1 << 18, 256 << 20, 4096
@@ -141,8 +143,8 @@ _TAIL = ".,;:!?)]}\""
 #: Letters that stay one letter in any form, and those and digits.
 _LATIN = re.compile("[A-Za-zªµºÀ-ÖØ-öø-įı-ɏ]+")
 _BEFORE_TAIL = re.compile("[A-Za-z0-9ªµºÀ-ÖØ-öø-įı-ɏ]")
-#: White space of str.split() that the tokenizer takes for signs.
-_NOT_SPACE = "\x1c\x1d\x1e\x1f"
+#: Words, and forms of words, that a worker holds before it starts anew.
+HELD = 1_000_000
 #: Words of one call, so that its offsets and pieces stay small.
 _AT_ONCE = 8192
 
@@ -156,7 +158,7 @@ class _Words:
     """
 
     def __init__(self, tokenizer, dtype: str):
-        self.tokenizer, self.dtype, self.held = tokenizer, dtype, {"": b""}
+        self.tokenizer, self.dtype, self.held, self.whole = tokenizer, dtype, {"": b""}, {}
         vocabulary = tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
@@ -165,13 +167,19 @@ class _Words:
     def pack(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.dtype).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def form(self, word: str) -> tuple[str, str]:
-        """The word as it is looked up, and the signs after it."""
-        stem = word.rstrip(_TAIL)
-        tail = word[len(stem) :]
-        if tail and not (stem and _BEFORE_TAIL.match(stem[-1])):
-            stem, tail = word, ""
-        return (stem.lower() if self.lowers and stem.isascii() and stem.isalpha() else stem), tail
+    def forms(self, words: list[str]) -> tuple[list[str], list[str]]:
+        """Each word as it is looked up, and the signs after it."""
+        stems, tails, lowers = [], [], self.lowers
+        for w in words:
+            stem, tail = w.rstrip(_TAIL), ""
+            if len(stem) < len(w):
+                if stem and _BEFORE_TAIL.match(stem[-1]):
+                    tail = w[len(stem) :]
+                else:
+                    stem = w
+            stems.append(stem.lower() if lowers and stem.isascii() and stem.isalpha() else stem)
+            tails.append(tail)
+        return stems, tails
 
     def plain(self, words: list[str]) -> list[bytes]:
         ids = np.array(self.tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, self.dtype)
@@ -181,25 +189,60 @@ class _Words:
         raw = ids.tobytes()
         return [raw[a:b] for a, b in zip([0, *cuts], cuts, strict=False)]
 
-    def many(self, words: list[str]) -> list[bytes]:
-        held, words = self.held, [w.lstrip(" ") for w in words]
+    def fill(self, words: list[str]) -> None:
+        """Makes sure that these words, none of them long, are held."""
+        held, whole = self.held, self.whole
         if len(held) > HELD:
             held.clear()
             held[""] = b""
-        forms = [self.form(w) if len(w) <= LONGEST else None for w in words]
-        new = {x for f in forms if f for x in f if x not in held}
+        stems, tails = self.forms(words)
+        new = {x for x in stems if x not in held}
+        new.update(x for x in set(tails) if x not in held)
         plain = [x for x in new if _LATIN.fullmatch(x)]
         for k in range(0, len(plain), _AT_ONCE):
             some = plain[k : k + _AT_ONCE]
             held.update(zip(some, self.plain(some), strict=True))
         other = list(new.difference(plain))
         held.update(zip(other, self.pack(other), strict=True))
-        alone = iter(self.pack([w for w, f in zip(words, forms, strict=True) if f is None]))
-        return [held[f[0]] + held[f[1]] if f else next(alone) for f in forms]
-
-
-def _split(text: str) -> list[str]:
-    return (text.split(" ") if any(c in text for c in _NOT_SPACE) else text.split()) or [""]
+        whole.update(zip(words, [held[s] + held[t] if t else held[s] for s, t in zip(stems, tails, strict=True)], strict=True))
+
+    def values(self, words: list[str]) -> list[bytes]:
+        """Packed ids of each of these words; long ones are not held."""
+        whole = self.whole
+        if len(whole) > HELD:
+            whole.clear()
+        missing = [w for w in words if w not in whole]
+        long = [w for w in missing if len(w) > LONGEST]
+        self.fill([w for w in missing if len(w) <= LONGEST] if long else missing)
+        if not long:
+            return list(map(whole.__getitem__, words))
+        alone = dict(zip(long, self.pack(long), strict=True))
+        return [alone[w] if w in alone else whole[w] for w in words]
+
+
+def _words(texts: pa.Array) -> pa.ListArray:
+    """The texts parted at spaces, tabs and line ends, all of which the tokenizer drops."""
+    for space in "\n\r\t":
+        texts = pc.replace_substring(texts, space, " ")
+    return pc.split_pattern(texts, " ")
+
+
+def _looked_up(parts: pa.ListArray, words: _Words) -> list[bytes]:
+    """Packed ids of each list of words: each distinct word is looked up once, its ids are dealt to its places as arrays."""
+    size = np.dtype(words.dtype).itemsize
+    coded = parts.flatten().dictionary_encode()
+    distinct, at = coded.dictionary.to_pylist(), coded.indices.to_numpy()
+    if not distinct:
+        return [b""] * len(parts)
+    values = words.values(distinct)
+    lengths = np.fromiter(map(len, values), "i8", len(values)) // size
+    ids = np.frombuffer(b"".join(values), words.dtype)
+    ends = np.cumsum(lengths[at])
+    begins = (np.cumsum(lengths) - lengths)[at]
+    raw = ids[np.repeat(begins - (ends - lengths[at]), lengths[at]) + np.arange(ends[-1])].tobytes()
+    last = np.cumsum(pc.list_value_length(parts).to_numpy())
+    cuts = [0, *(np.concatenate([[0], ends])[last] * size).tolist()]
+    return [raw[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
 
 
 @lru_cache(2)
@@ -209,11 +252,7 @@ def _encoder(path: str, dtype: str):
 
     tokenizer = Tokenizer.from_file(path)
     special = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
-    words = _Words(tokenizer, dtype)
-    # The pattern drops white space, so no piece crosses it and a segment needs no leading space.
-    memo = Memo(words.many)
-    memo.later = memo.first
-    return memo, special, words.pack
+    return _Words(tokenizer, dtype), special
 
 
 def default_path() -> str:
@@ -227,14 +266,19 @@ def encode(docs: DataFrame, path: str | None = None, end_id: int = END_ID, dtype
     path = path or default_path()
 
     def run(batches):
-        memo, special, pack = _encoder(path, dtype)
+        words, special = _encoder(path, dtype)
         end = np.array([end_id], dtype).tobytes()
         for b in batches:
-            texts = b.column("text").to_pylist()
-            whole = {i for i, t in enumerate(texts) if any(s in t for s in special)}
-            parts = [[""] if i in whole else _split(t) for i, t in enumerate(texts)]
-            memo.load(parts)
-            ids = [b"".join([*(pack([texts[i]]) if i in whole else memo.values(p)), end]) for i, p in enumerate(parts)]
+            texts = b.column("text")
+            # Strings and bytes make no cycles; the collector would only walk the long lists of them.
+            gc.disable()
+            try:
+                ids = _looked_up(_words(texts), words)
+            finally:
+                gc.enable()
+            for i in {i for s in special for i in pc.indices_nonzero(pc.match_substring(texts, s)).to_pylist()}:
+                ids[i] = words.pack([texts[i].as_py()])[0]
+            ids = [x + end for x in ids]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(ids, pa.binary())], names=["doc_id", "ids"])
 
     return map_arrow(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")), run, "doc_id long, ids binary")

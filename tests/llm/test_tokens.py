@@ -4,9 +4,11 @@ import hashlib
 import random
 import zlib
 from collections import Counter
+from functools import lru_cache
 
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -70,9 +72,13 @@ def test_counts(spark, sf_dir, texts, edges, nothing):
     assert token_counts.count(nothing).count() == bpe.encode(nothing).count() == 0
 
 
+@lru_cache(1)
+def word_tokenizer():
+    return Tokenizer.from_file(P.path("word_bpe_49k.json"))
+
+
 def word_ids(text):
-    tokenizer = Tokenizer.from_file(P.path("word_bpe_49k.json"))
-    return [*tokenizer.encode(text or "", add_special_tokens=False).ids, 1]
+    return [*word_tokenizer().encode(text or "", add_special_tokens=False).ids, 1]
 
 
 def test_store_random_texts(spark):
@@ -86,6 +92,16 @@ def test_store_random_texts(spark):
     assert got == {i: word_ids(t) for i, t in enumerate(made)}
 
 
+def test_store_words_that_are_not_held(monkeypatch):
+    """Long words at any place of a text, in one batch after another, and more words than are held."""
+    monkeypatch.setattr(token_store, "HELD", 5)
+    words, _ = token_store._encoder(token_store.default_path(), "<u2")
+    long = "y" * 70
+    for texts in ([f"a {long}"], [f"{long} b", long], ["", "c d. E, f g H i"], [f"{long}\n{long}z, a"], []):
+        got = token_store._looked_up(token_store._words(pa.array(texts, pa.string())), words)
+        assert [np.frombuffer(x, "<u2").tolist() for x in got] == [word_ids(t)[:-1] for t in texts]
+
+
 def crc(ids):
     return zlib.crc32(np.array(ids, "<u4").tobytes())
 
