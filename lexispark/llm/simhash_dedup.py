@@ -186,19 +186,19 @@ def edges(nodes: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS, n_pivots
 
 
 def groups(docs: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS, n_pivots: int = PIVOTS, tile: int = TILE, size: int = SHINGLE) -> DataFrame:
-    """key, doc_id, fp, component_id of every row."""
+    """key, doc_id, fp, component (its smallest fingerprint), component_id of every row."""
     rows = cut(fingerprints(docs, size))
     nodes = rows.groupBy("fp").agg(F.min("doc_id").alias("least"))
     linked = components(edges(nodes, radius, blocks, n_pivots, tile))
     named = nodes.join(linked, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("component", "fp").alias("component"))
     ids = named.groupBy("component").agg(F.min("least").alias("component_id"))
-    named = named.join(ids, "component").select(F.col("fp").alias("node"), "component_id")
+    named = named.join(ids, "component").select(F.col("fp").alias("node"), "component", "component_id")
     return rows.join(named, F.col("fp") == F.col("node")).drop("node")
 
 
 def keep_one(docs: DataFrame, **how) -> DataFrame:
     """One row of docs of each group, with the columns of docs: the one of the smallest doc_id, then key."""
-    best = groups(docs, **how).groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "key")).alias("m"))
+    best = groups(docs, **how).groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "key")).alias("m"))
     kept = best.select(F.col("m.key").alias("__kept"))
     rows = docs.withColumn("__key", key_of())
     return rows.join(kept, F.col("__key") == F.col("__kept"), "left_semi").dropDuplicates(["__key"]).select(docs.columns)

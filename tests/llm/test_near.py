@@ -54,6 +54,16 @@ def test_edges(edges, nothing):
     assert len(kept) == len({c for _, _, c in brute_groups([r[:2] for r in rows])})
 
 
+def test_texts_without_or_with_equal_ids_stay_apart(spark):
+    texts = ["a first text about ships and the sea", "some other words on trains and rails", "third one that names birds of the north"]
+    rows = [(i, t) for i in (None, 7) for t in texts] + [(None, texts[0]), (8, texts[1])]
+    # The ids of the rows differ, so the texts of both lots are the same three groups.
+    kept = simhash_dedup.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r["doc_id"], r["text"]) for r in kept) == sorted((7, t) for t in texts)
+    kept = simhash_dedup.keep_one(spark.createDataFrame([r for r in rows if r[0] is None], "doc_id long, text string")).collect()
+    assert sorted(r["text"] for r in kept) == sorted(texts)
+
+
 def test_dense_groups_and_tiles(spark):
     """Chains and clouds of fingerprints, with tiles of few rows: the components of all links."""
     rng = np.random.default_rng(3)
