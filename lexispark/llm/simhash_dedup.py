@@ -196,9 +196,9 @@ def groups(docs: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS, n_pivots
     return rows.join(named, F.col("fp") == F.col("node")).drop("node")
 
 
-def keep_one(docs: DataFrame, **how) -> DataFrame:
-    """One row of docs of each group, with the columns of docs: the one of the smallest doc_id, then key."""
-    best = groups(docs, **how).groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "key")).alias("m"))
+def keep_one(docs: DataFrame, found: DataFrame | None = None, **how) -> DataFrame:
+    """One row of docs of each group, with the columns of docs: the one of the smallest doc_id, then key. found: groups by another method."""
+    best = (groups(docs, **how) if found is None else found).groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "key")).alias("m"))
     kept = best.select(F.col("m.key").alias("__kept"))
     rows = docs.withColumn("__key", key_of())
     return rows.join(kept, F.col("__key") == F.col("__kept"), "left_semi").dropDuplicates(["__key"]).select(docs.columns)

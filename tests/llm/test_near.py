@@ -7,7 +7,8 @@ import numpy as np
 import xxhash
 from pyspark.sql import functions as F
 
-from lexispark.llm import fingerprints, graph, queries, simhash_dedup
+import corpus_pipeline
+from lexispark.llm import fingerprints, graph, near_copies, queries, simhash_dedup
 
 
 def brute_fp(text, size=4):
@@ -96,6 +97,57 @@ def test_dense_groups_and_tiles(spark):
         assert all(k == min(v) for k, v in found.items())
 
 
+def brute_copies(rows, least=0.8):
+    sets = []
+    for _, t in rows:
+        w = (t or "").lower().split()
+        sets.append({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set())
+    parent = list(range(len(rows)))
+
+    def find(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            if a == b or len(a & b) >= least * len(a | b) - 1e-9:
+                parent[find(i)] = find(j)
+    return {frozenset(rows[i][0] for i in range(len(rows)) if find(i) == find(k)) for k in range(len(rows))}
+
+
+def test_near_copies(spark):
+    """The stage keeps one of each component of Jaccard similarity 0.8 over five words, also where SimHash is far."""
+    rng = np.random.default_rng(5)
+    rows = [(0, None), (1, ""), (2, "Two words"), (3, "two  words\n")]
+    for _ in range(25):
+        text = [f"w{x}" for x in rng.integers(0, 10_000, rng.integers(40, 400))]
+        for _ in range(8):
+            rows.append((len(rows), " ".join(text)))
+            if rng.random() < 0.3:
+                text = text[: int(len(text) * rng.uniform(0.75, 1))]
+            for at in rng.integers(0, len(text), rng.integers(0, 2 + len(text) // 40)):
+                text[at] = f"x{rng.integers(0, 10_000)}"
+    want = brute_copies(rows)
+    far = [g for g in want if len(g) > 1 and max((brute_fp(rows[a][1]) ^ brute_fp(rows[b][1])).bit_count() for a in g for b in g) > 4]
+    assert len(far) > 10 and len(want) > 40
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for tile in (2, 2048):
+        found = defaultdict(set)
+        for r in near_copies.groups(df, tile=tile).collect():
+            found[r["component"]].add(r["doc_id"])
+        assert set(map(frozenset, found.values())) == want
+    kept = corpus_pipeline.drop_near_copies(spark, df, "").collect()
+    assert sorted(r["doc_id"] for r in kept) == sorted(map(min, want))
+
+
+def test_near_copies_edges(spark, edges, nothing):
+    rows, df = edges
+    assert corpus_pipeline.drop_near_copies(spark, df, "").columns == df.columns
+    assert corpus_pipeline.drop_near_copies(spark, df, "").count() == len({t or "" for _, t, *_ in rows})
+    assert corpus_pipeline.drop_near_copies(spark, nothing, "").count() == 0
+
+
 def test_components_of_a_path(spark):
     e = spark.range(60).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
     assert {r["component"] for r in graph.components(e).collect()} == {0}
