@@ -1,8 +1,9 @@
 """Mixing sources to target weights by a low-discrepancy schedule.
 
 Slot i of the mix takes the point frac((i + 1) * golden ratio) through the cumulative target shares and so falls to a source; the
-r-th slot of a source takes the r-th block of equal size from that source's documents, which lie end to end in a shuffled order,
-one pass after the other, a pass with a shuffle of its own. Slots and documents are ranked by bucket totals first, so no source is
+r-th slot of a source takes the r-th block from that source's documents, which lie end to end in a shuffled order, one pass after the
+other, a pass with a shuffle of its own. A source's blocks are its target divided by its number of slots, rounded up, and end at the
+target, so each source takes its target to the word; a source that no slot falls to gets one after the others. Slots and documents are ranked by bucket totals first, so no source is
 handled by one task.
 
 Sizes are numbers of words (null text: 0). Sources are ordered by code point, null last, and weigh 1, 2, 3, repeating. Targets share
@@ -51,8 +52,8 @@ def targets(sizes: dict[str | None, int], weights: tuple[float, ...] = WEIGHTS,
     return out
 
 
-def schedule(spark, shares: list[float], n: int) -> DataFrame:
-    """slot, source_no, rank (of the slot among its source's) of n slots."""
+def falls(spark, shares: list[float], n: int) -> DataFrame:
+    """slot, source_no of n slots."""
     total, edges, sum_ = sum(shares), [], 0.0
     for s in shares[:-1]:
         sum_ += s
@@ -65,8 +66,12 @@ def schedule(spark, shares: list[float], n: int) -> DataFrame:
         number = sum((F.when(F.col("point") >= e, 1).otherwise(0) for e in edges), F.lit(0))
     else:
         number = F.size(F.filter(F.lit(edges), lambda e: e <= F.col("point")))
-    slots = slots.withColumn("source_no", number.cast("int")).withColumn("__bucket", F.shiftright("slot", 14))
-    slots = slots.withColumn("__one", F.lit(1).cast("long"))
+    return slots.select("slot", number.cast("int").alias("source_no"))
+
+
+def schedule(spark, shares: list[float], n: int) -> DataFrame:
+    """slot, source_no, rank (of the slot among its source's) of n slots."""
+    slots = falls(spark, shares, n).withColumn("__bucket", F.shiftright("slot", 14)).withColumn("__one", F.lit(1).cast("long"))
     return running_total(slots, ["source_no"], "__bucket", [F.col("slot")], "__one", "rank").select("slot", "source_no", "rank")
 
 
@@ -89,28 +94,35 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: int = MOST,
     order = sorted((s for s in sizes if s is not None), key=lambda s: [ord(c) for c in s]) + [None] * (None in sizes)
     total = sum(sizes.values())
     block = block or max(1, min(BLOCK, total // (200 * max(1, len(order)))))
-    schema = "source_no int, source string, source_size long, target double"
-    table = spark.createDataFrame([(i, s, sizes[s], target[s]) for i, s in enumerate(order)], schema)
+    n, shares = -(-total // block), [target[s] for s in order]
+    of = {r["source_no"]: r["n"] for r in falls(spark, shares, n).groupBy("source_no").agg(F.count("*").alias("n")).collect()} if n else {}
+    quota = [round(x) for x in shares]
+    late = [i for i, q in enumerate(quota) if q and i not in of]
+    schema = "source_no int, source string, source_size long, target double, quota long, block long"
+    table = spark.createDataFrame([(i, s, sizes[s], target[s], quota[i], max(1, -(-quota[i] // of.get(i, 1)))) for i, s in enumerate(order)], schema)
     near = F.broadcast(table) if len(order) <= 1000 else table
     rows = rows.join(near.withColumnRenamed("source", "__s"), F.col("source").eqNullSafe(F.col("__s"))).drop("__s")
-    n = -(-total // block)
     if not n:
-        return rows.withColumn("taken", F.lit(0).cast("long")), spark.createDataFrame([], "slot long, key long, copy int, pass_no int, begin long, end long")
-    slots = schedule(spark, [target[s] for s in order], n)
-    # A block of rank r holds words [r * block, (r + 1) * block) of the source's passes; a pass is one more shuffle.
-    passes = rows.filter("size > 0").withColumn("pass_no", F.explode(F.sequence(F.lit(0), F.least(F.lit(int(most) - 1), F.floor((F.col("target") + len(order) * 2 * block) / F.col("source_size")).cast("int")))))
+        return rows.drop("quota", "block").withColumn("taken", F.lit(0).cast("long")), spark.createDataFrame([], "slot long, key long, copy int, pass_no int, begin long, end long")
+    slots = schedule(spark, shares, n)
+    if late:
+        more = spark.createDataFrame([(n + k, i, 0) for k, i in enumerate(late)], "slot long, source_no int, rank long")
+        slots = slots.select("slot", "source_no", F.col("rank").cast("long").alias("rank")).unionByName(more)
+    # A block of rank r holds words [r * block, (r + 1) * block) of the source's passes up to its quota; a pass is one more shuffle.
+    passes = rows.filter("size > 0 and quota > 0").withColumn("pass_no", F.explode(F.sequence(F.lit(0), F.floor((F.col("quota") - 1) / F.col("source_size")).cast("int"))))
     shuffled = F.xxhash64("key", "copy", F.lit(seed), "pass_no")
     passes = passes.withColumn("__h", shuffled).withColumn("__bucket", F.shiftright(F.col("__h"), 56))
     laid = running_total(passes, ["source_no", "pass_no"], "__bucket", [F.col("__h"), F.col("key"), F.col("copy")], "size", "__at")
     laid = laid.withColumn("__at", F.col("__at") + F.col("pass_no") * F.col("source_size"))
-    first, last = F.floor(F.col("__at") / block), F.floor((F.col("__at") + F.col("size") - 1) / block)
+    laid = laid.filter("__at < quota").withColumn("__to", F.least(F.col("size"), F.col("quota") - F.col("__at")))
+    first, last = F.expr("__at div block"), F.expr("(__at + __to - 1) div block")
     parts = laid.withColumn("rank", F.explode(F.sequence(first, last)))
     joined = parts.join(slots, ["source_no", "rank"])
-    begin = F.greatest(F.lit(0), F.col("rank") * block - F.col("__at"))
-    end = F.least(F.col("size"), (F.col("rank") + 1) * block - F.col("__at"))
+    begin = F.greatest(F.lit(0), F.col("rank") * F.col("block") - F.col("__at"))
+    end = F.least(F.col("__to"), (F.col("rank") + 1) * F.col("block") - F.col("__at"))
     blocks = joined.select("slot", "key", "copy", "pass_no", begin.cast("long").alias("begin"), end.cast("long").alias("end"))
     taken = blocks.groupBy("key", "copy").agg(F.sum(F.col("end") - F.col("begin")).alias("taken"))
-    out = rows.join(taken, ["key", "copy"], "left").withColumn("taken", F.coalesce("taken", F.lit(0)))
+    out = rows.drop("quota", "block").join(taken, ["key", "copy"], "left").withColumn("taken", F.coalesce("taken", F.lit(0)))
     return out, blocks
 
 

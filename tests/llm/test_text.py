@@ -224,6 +224,20 @@ def test_mixing_edges(edges, nothing):
     assert mixed.agg(F.sum(mixing.n_words(F.col("text")))).first()[0] == parts.agg(F.sum("taken")).first()[0]
 
 
+def test_mixing_meets_the_targets_of_rare_sources(spark):
+    """Sources far below a block beside a hot one, anywhere in the order, take their targets to the word."""
+    sizes = {"a": 3, "b": 700, "c": 60_000, "d": 40, "e": 60_000, "f": 5, "g": 1000, None: 2}
+    rows = [(s, " ".join(["w"] * min(37, n - a))) for s, n in sizes.items() for a in range(0, n, 37)]
+    df = spark.createDataFrame([(i, t, s) for i, (s, t) in enumerate(rows)], "doc_id long, text string, source string")
+    got, blocks = mixing.mix(df)
+    target = mixing.targets(sizes)
+    took = {r["source"]: r["t"] for r in got.groupBy("source").agg(F.sum("taken").alias("t")).collect()}
+    assert took == {s: round(x) for s, x in target.items()}
+    assert blocks.filter("end <= begin").count() == 0 and got.filter("taken > 3 * size").count() == 0
+    mixed = {r["source"]: r["t"] for r in mixing.apply(df).groupBy("source").agg(F.sum(mixing.n_words(F.col("text"))).alias("t")).collect()}
+    assert mixed == took
+
+
 def test_schedule_ranks(spark):
     rows = mixing.schedule(spark, [0.5, 0.3, 0.2], 1000).orderBy("slot").collect()
     n = Counter()
