@@ -2,7 +2,8 @@
 
 A line is parsed by its number of tokens and its leading tokens to a leaf of the tree. Tokens with a digit are variable at once. Within
 a leaf the line's tokens form up to `FIELDS` fields; a field whose value fewer than `least_docs` documents have at that place is
-variable, and what stays is the template (this support counts rows; the documents of a template are counted exactly). A template that keeps at least `constant` of its fields and occurs in at least `least_docs`
+variable, and what stays is the template. The leading tokens are the leaf's own and count for nothing here: only the fields after them
+are looked at, and a line without any is its own template (this support counts rows; the documents of a template are counted exactly). A template that keeps at least `constant` of these fields and occurs in at least `least_docs`
 documents is dropped, except in the document with the smallest doc_id that has it, so that groups of copies keep one original.
 
 The tree is a set of aggregates: lines are counted once per document, equal lines are merged before the leaves are, and only leaves
@@ -28,7 +29,7 @@ _MASK = b"<*>"
 
 
 def parse(line: bytes, least_tokens: int = LEAST_TOKENS, depth: int = DEPTH, fields: int = FIELDS) -> tuple[int, int, list[int]] | None:
-    """Leaf, line and field hashes of a line; None for a line of too few tokens."""
+    """Leaf, line and hashes of the fields after the leading tokens; None for a line of too few tokens."""
     import xxhash
 
     tokens = line.split()
@@ -42,7 +43,8 @@ def parse(line: bytes, least_tokens: int = LEAST_TOKENS, depth: int = DEPTH, fie
     whole = signed(xxhash.xxh64_intdigest(b" ".join(tokens), 1), 64)
     k = min(fields, n)
     cuts = [n * i // k for i in range(k + 1)]
-    return leaf, whole, [signed(xxhash.xxh32_intdigest(b" ".join(tokens[a:b])), 32) for a, b in zip(cuts, cuts[1:], strict=False)]
+    # A field that holds only leading tokens is the same in the whole leaf.
+    return leaf, whole, [signed(xxhash.xxh32_intdigest(b" ".join(tokens[a:b])), 32) for a, b in zip(cuts, cuts[1:], strict=False) if b > depth]
 
 
 def lines(docs: DataFrame, least_tokens: int = LEAST_TOKENS, depth: int = DEPTH, fields: int = FIELDS) -> DataFrame:

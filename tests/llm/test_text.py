@@ -120,6 +120,15 @@ def test_lines_variable_words(spark):
     assert got == {0: rows[0][1]} | {i: "" for i in range(1, 5)}
 
 
+def test_lines_of_five_words_need_more_than_their_leaf(spark):
+    """Equal leading words alone make no template; equal lines of any length still do."""
+    rows = [(i, f"was erlytion that {a} {b}\nwas erlytion that same end") for i, (a, b) in enumerate([("ing", "eresnt."), ("oues", "ereaha."), ("are", "for."), ("of.", "restwh."), ("a,", "reha.")])]
+    got = {r["doc_id"]: r["text"] for r in line_dedup.apply(lines_df(spark, rows)).collect()}
+    assert got == {i: t if i == 0 else t.split("\n")[0] for i, t in rows}
+    long = [line_dedup.parse(b" ".join(b"w%c" % (97 + i) for i in range(n))) for n in (5, 16, 24, 64)]
+    assert [len(x[2]) for x in long] == [2, 13, 14, 16]
+
+
 def test_lines_query_exact_copies_are_found(spark, sf_dir, texts):
     """Every line of five words or more that equals one in three documents stays in the first only; other documents lose only templates."""
     got = {r["doc_id"]: r["n_dropped"] for r in queries.op5_line_dedup(spark, sf_dir).collect()}
