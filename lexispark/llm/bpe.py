@@ -118,9 +118,20 @@ def stitch(chunks: list[tuple[np.ndarray, np.ndarray, np.ndarray]], begins: list
     return np.concatenate(out) if out else np.zeros(0, "<u4")
 
 
-def encode(docs: DataFrame, path: str | None = None, chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
-    """doc_id, n_tokens, ids (unsigned 32-bit little-endian) of every row."""
+def encode(docs: DataFrame, path: str | None = None, chunk: int = CHUNK, overlap: int = OVERLAP, decoded: bool = False) -> DataFrame:
+    """doc_id, n_tokens, ids (unsigned 32-bit little-endian) of every row. decoded: with the SHA-256 of the bytes that the ids decode to."""
     path = path or default_path()
+    names, types = ["doc_id", "n_tokens", "ids"], [pa.int64(), pa.int64(), pa.binary()]
+    if decoded:
+        names, types = [*names, "decoded_sha256"], [*types, pa.string()]
+
+    # In the workers that encode: another mapInArrow after them would double the workers of an executor.
+    def coded_rows(doc_ids, ids):
+        columns = [doc_ids, [len(x) // 4 for x in ids], ids]
+        if decoded:
+            columns.append([hashlib.sha256(decode(np.frombuffer(x, "<u4"), path)).hexdigest() for x in ids])
+        return batch(names, types, columns)
+
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
 
     def short(batches):
@@ -129,7 +140,7 @@ def encode(docs: DataFrame, path: str | None = None, chunk: int = CHUNK, overlap
             parts = [segments(t) for t in b.column("text").to_pylist()]
             held.load(parts)
             ids = [b"".join(held.values(p)) for p in parts]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary())], names=["doc_id", "n_tokens", "ids"])
+            yield coded_rows(b.column("doc_id").to_pylist(), ids)
 
     def deal(batches):
         for b in batches:
@@ -149,8 +160,7 @@ def encode(docs: DataFrame, path: str | None = None, chunk: int = CHUNK, overlap
         key, doc_id, chunks, begins, wholes = None, None, [], [], []
 
         def out():
-            ids = stitch(chunks, begins, wholes)
-            return batch(["doc_id", "n_tokens", "ids"], [pa.int64(), pa.int64(), pa.binary()], [[doc_id], [len(ids)], [ids.astype("<u4").tobytes()]])
+            return coded_rows([doc_id], [stitch(chunks, begins, wholes).astype("<u4").tobytes()])
 
         for b in batches:
             for r in b.to_pylist():
@@ -164,7 +174,7 @@ def encode(docs: DataFrame, path: str | None = None, chunk: int = CHUNK, overlap
         if chunks:
             yield out()
 
-    schema = "doc_id long, n_tokens long, ids binary"
+    schema = "doc_id long, n_tokens long, ids binary" + (", decoded_sha256 string" if decoded else "")
     brief = map_arrow(rows.filter(F.char_length("text") <= chunk), short, schema)
     long = rows.filter(F.char_length("text") > chunk).withColumn("key", F.monotonically_increasing_id())
     dealt = map_arrow(long, deal, "key long, doc_id long, k int, begin long, whole boolean, piece string")

@@ -36,6 +36,15 @@ def test_bpe_chunks(edges, chunk):
     assert Counter((r["doc_id"], r["n_tokens"], r["ids_sha256"], r["decoded_sha256"]) for r in got) == Counter((r[0], *expected_bpe(r[1])) for r in rows)
 
 
+def test_pipeline_stage_decodes(spark, edges):
+    import corpus_pipeline
+
+    rows, df = edges
+    got = corpus_pipeline.encode(spark, df, "").collect()
+    assert Counter((r["doc_id"], r["n_tokens"], r["decoded_sha256"]) for r in got) == Counter((r[0], len(bpe.encoding(bpe.default_path()).encode_ordinary(r[1] or "")), sha(r[1] or "")) for r in rows)
+    assert all(len(r["ids"]) == 4 * r["n_tokens"] for r in got)
+
+
 def test_bpe_random_texts(spark):
     rng, made = random.Random(5), []
     for _ in range(300):
