@@ -56,9 +56,10 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     each = fingerprints.compare(documents(spark, sf_dir))
     like = fingerprints.likeness
-    # The search: for ids divisible by 100, the number of other fingerprints within the radius.
+    # The search: for ids divisible by 100, the number of other documents whose fingerprint is within the radius.
     asked = each.filter(F.col("doc_id") % 100 == 0)
-    near = fingerprints.within(each, asked).groupBy(F.col("query").alias("__q")).agg((F.count("*") - 1).alias("n_near"))
+    each_fp = each.groupBy("fp").agg(F.count("*").alias("n"))
+    near = fingerprints.within(each_fp, asked).join(each_fp, "fp").groupBy(F.col("query").alias("__q")).agg((F.sum("n") - 1).alias("n_near"))
     n_near = F.when(F.col("doc_id") % 100 == 0, F.col("n_near")).alias("n_near")
     return each.join(near, F.col("fp") == F.col("__q"), "left").select(
         "doc_id", "n_chars", "edited_sha256", fingerprints.as_hex(F.col("fp")).alias("fingerprint"), fingerprints.as_hex(F.col("edited_fp")).alias("edited_fingerprint"),
