@@ -8,7 +8,9 @@ handled by one task.
 
 Sizes are numbers of words (null text: 0). Sources are ordered by code point, null last, and weigh 1, 2, 3, repeating. Targets share
 the sum of all sizes by weight; none is above `most` times its source's size, the excess is reshared until none is. Rows that repeat
-are documents of their own with equal parts of the mix; an empty table or one without words takes nothing.
+are documents of their own with equal parts of the mix; an empty table or one without words takes nothing. Texts of any length are
+handled whole. The table may have any other columns; rows that differ in one of them are different documents. A mix of more than
+`MAX_SOURCES` sources is refused, as the sources' totals (not their documents) are held by the driver.
 """
 
 from __future__ import annotations
@@ -18,9 +20,9 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, key_of, running_total
+from .common import cut, key_of, parts_for, range_of, running_total
 
-WEIGHTS, MOST, BLOCK, BUCKETS = (1, 2, 3), 3, 8192, 256
+WEIGHTS, MOST, BLOCK, BUCKET_ROWS = (1, 2, 3), 3, 8192, 20_000
 GOLDEN = (math.sqrt(5) - 1) / 2
 #: More sources than this are no mix of sources; their totals are held by the driver.
 MAX_SOURCES = 100_000
@@ -60,7 +62,7 @@ def falls(spark, shares: list[float], n: int) -> DataFrame:
         edges.append(sum_ / total)
     point = (F.col("slot") + 1) * F.lit(GOLDEN)
     point = point - F.floor(point)
-    # The number of edges at or below the point, by binary search in the constant array.
+    # The number of edges at or below the point.
     slots = spark.range(n).withColumnRenamed("id", "slot").withColumn("point", point)
     if len(edges) <= 64:
         number = sum((F.when(F.col("point") >= e, 1).otherwise(0) for e in edges), F.lit(0))
@@ -75,14 +77,14 @@ def schedule(spark, shares: list[float], n: int) -> DataFrame:
     return running_total(slots, ["source_no"], "__bucket", [F.col("slot")], "__one", "rank").select("slot", "source_no", "rank")
 
 
-def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: int = MOST, block: int | None = None, seed: int = 0) -> tuple[DataFrame, DataFrame]:
+def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: int = MOST, block: int = BLOCK, seed: int = 0, key: Column | None = None) -> tuple[DataFrame, DataFrame]:
     """Documents with their part in the mix, and the schedule's blocks joined to parts of documents.
 
-    First: key (see key_of), copy (among rows that repeat), doc_id, size, source_size, target, and taken. Second: slot, key, copy,
-    pass_no, begin, end (words of the document), in the order of the slots.
+    First: key (by default see key_of), copy (among rows that repeat), doc_id, size, source_size, target, and taken. Second: slot,
+    key, doc_id, copy, pass_no, at (place in the source's passes), begin, end (words of the document).
     """
     spark = docs.sparkSession
-    sized = docs.select("doc_id", "source", row_key().alias("key"), n_words(F.col("text")).alias("size"))
+    sized = docs.select("doc_id", "source", (row_key() if key is None else key).alias("key"), n_words(F.col("text")).alias("size"))
     # Rows that repeat are told apart by number; their parts of the mix may be exchanged among them.
     same = sized.groupBy("key", "doc_id", "source", "size").agg(F.count("*").cast("int").alias("copies"))
     rows = cut(same.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).drop("copies"))
@@ -93,7 +95,6 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: int = MOST,
     target = targets(sizes, weights, most)
     order = sorted((s for s in sizes if s is not None), key=lambda s: [ord(c) for c in s]) + [None] * (None in sizes)
     total = sum(sizes.values())
-    block = block or max(1, min(BLOCK, total // (200 * max(1, len(order)))))
     n, shares = -(-total // block), [target[s] for s in order]
     of = {r["source_no"]: r["n"] for r in falls(spark, shares, n).groupBy("source_no").agg(F.count("*").alias("n")).collect()} if n else {}
     quota = [round(x) for x in shares]
@@ -103,16 +104,16 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: int = MOST,
     near = F.broadcast(table) if len(order) <= 1000 else table
     rows = rows.join(near.withColumnRenamed("source", "__s"), F.col("source").eqNullSafe(F.col("__s"))).drop("__s")
     if not n:
-        return rows.drop("quota", "block").withColumn("taken", F.lit(0).cast("long")), spark.createDataFrame([], "slot long, key long, copy int, pass_no int, begin long, end long")
+        return rows.drop("quota", "block").withColumn("taken", F.lit(0).cast("long")), spark.createDataFrame([], "slot long, key long, doc_id long, copy int, pass_no int, at long, begin long, end long")
     slots = schedule(spark, shares, n)
     if late:
         more = spark.createDataFrame([(n + k, i, 0) for k, i in enumerate(late)], "slot long, source_no int, rank long")
         slots = slots.select("slot", "source_no", F.col("rank").cast("long").alias("rank")).unionByName(more)
     # A block of rank r holds words [r * block, (r + 1) * block) of the source's passes up to its quota; a pass is one more shuffle.
     passes = rows.filter("size > 0 and quota > 0").withColumn("pass_no", F.explode(F.sequence(F.lit(0), F.floor((F.col("quota") - 1) / F.col("source_size")).cast("int"))))
-    shuffled = F.xxhash64("key", "copy", F.lit(seed), "pass_no")
-    passes = passes.withColumn("__h", shuffled).withColumn("__bucket", F.shiftright(F.col("__h"), 56))
-    laid = running_total(passes, ["source_no", "pass_no"], "__bucket", [F.col("__h"), F.col("key"), F.col("copy")], "size", "__at")
+    shuffled = F.xxhash64("key", "doc_id", "copy", F.lit(seed), "pass_no")
+    passes = passes.withColumn("__h", shuffled).withColumn("__bucket", range_of(F.col("__h"), parts_for(rows.count(), BUCKET_ROWS)))
+    laid = running_total(passes, ["source_no", "pass_no"], "__bucket", [F.col("__h"), F.col("key"), F.col("doc_id"), F.col("copy")], "size", "__at")
     laid = laid.withColumn("__at", F.col("__at") + F.col("pass_no") * F.col("source_size"))
     laid = laid.filter("__at < quota").withColumn("__to", F.least(F.col("size"), F.col("quota") - F.col("__at")))
     first, last = F.expr("__at div block"), F.expr("(__at + __to - 1) div block")
@@ -120,25 +121,35 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: int = MOST,
     joined = parts.join(slots, ["source_no", "rank"])
     begin = F.greatest(F.lit(0), F.col("rank") * F.col("block") - F.col("__at"))
     end = F.least(F.col("__to"), (F.col("rank") + 1) * F.col("block") - F.col("__at"))
-    blocks = joined.select("slot", "key", "copy", "pass_no", begin.cast("long").alias("begin"), end.cast("long").alias("end"))
-    taken = blocks.groupBy("key", "copy").agg(F.sum(F.col("end") - F.col("begin")).alias("taken"))
-    out = rows.drop("quota", "block").join(taken, ["key", "copy"], "left").withColumn("taken", F.coalesce("taken", F.lit(0)))
+    blocks = joined.select("slot", "key", "doc_id", "copy", "pass_no", F.col("__at").alias("at"), begin.cast("long").alias("begin"), end.cast("long").alias("end"))
+    taken = blocks.groupBy("key", "doc_id", "copy").agg(F.sum(F.col("end") - F.col("begin")).alias("taken"))
+    same = (F.col("r.key") == F.col("t.key")) & F.col("r.doc_id").eqNullSafe(F.col("t.doc_id")) & (F.col("r.copy") == F.col("t.copy"))
+    out = rows.drop("quota", "block").alias("r").join(taken.alias("t"), same, "left").select("r.*", F.coalesce("t.taken", F.lit(0)).alias("taken"))
     return out, blocks
 
 
-def apply(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: int = MOST, seed: int = 0) -> DataFrame:
-    """The mix as rows with the columns of docs: a document for each pass that takes it; the one that a source's last block cuts is cut after its last taken word."""
-    columns = docs.columns
-    _, blocks = mix(docs, weights, most, seed=seed)
-    spans = blocks.groupBy("key", "copy", "pass_no").agg(F.min("begin").alias("__begin"), F.max("end").alias("__end")).withColumnRenamed("key", "__span")
-    keyed = docs.withColumn("__key", row_key()).withColumn("__size", n_words(F.col("text")))
-    # Rows that repeat hold the same text, so one of them stands for all and each copy's spans join to it.
-    one = keyed.dropDuplicates(["__key"])
-    got = one.join(spans, F.col("__key") == F.col("__span"))
-    words = F.regexp_extract_all("text", F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0))
-    some = F.array_join(F.slice(words, (F.col("__begin") + 1).cast("int"), (F.col("__end") - F.col("__begin")).cast("int")), "")
-    whole = (F.col("__begin") == 0) & (F.col("__end") == F.col("__size"))
-    got = got.withColumn("text", F.when(whole, F.col("text")).otherwise(some))
-    if "n_chars" in columns:
-        got = got.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
-    return got.select(columns)
+def whole_key(docs: DataFrame) -> Column:
+    """Identity of a row by all its columns (together with doc_id): rows that agree in it may stand for each other."""
+    hashed = [F.to_json(F.struct(F.col(f"`{c}`"))) if "map<" in t or "variant" in t else F.col(f"`{c}`") for c, t in docs.dtypes]
+    return F.xxhash64(*[y for x in hashed for y in (x.isNull(), x)])
+
+
+def apply(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: int = MOST, seed: int = 0, block: int = BLOCK) -> DataFrame:
+    """The mix as rows with the columns of docs, in the order of the schedule's slots.
+
+    There is a row for each pass that takes a document, at the first slot that it falls to; the one that a source's last block cuts is
+    cut after its last taken word.
+    """
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").alias("doc_id"), whole_key(docs).alias("key"), n_words(F.col("text")).alias("size"))
+    parts, blocks = mix(docs, weights, most, block, seed, whole_key(docs))
+    spans = blocks.groupBy("key", "doc_id", "copy", "pass_no").agg(F.min("begin").alias("begin"), F.max("end").alias("end"), F.min(F.struct("slot", "at")).alias("place"))
+    # Rows that repeat are equal, so one of them stands for all and each copy's spans join to it.
+    one = packed.dropDuplicates(["key", "doc_id"]) if parts.filter("copy > 1").limit(1).count() else packed
+    got = one.alias("o").join(spans.alias("s"), (F.col("o.key") == F.col("s.key")) & F.col("o.doc_id").eqNullSafe(F.col("s.doc_id"))).select("o.row", "o.size", "s.key", "s.copy", "s.begin", "s.end", "s.place")
+    text = F.col("row").getField("text")
+    words = F.regexp_extract_all(text, F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0))
+    some = F.array_join(F.slice(words, (F.col("begin") + 1).cast("int"), (F.col("end") - F.col("begin")).cast("int")), "")
+    taken = F.when((F.col("begin") == 0) & (F.col("end") == F.col("size")), text).otherwise(some)
+    got = got.withColumn("taken", taken).orderBy("place.slot", "place.at", "key", "copy")
+    new = {"text": F.col("taken"), "n_chars": F.char_length("taken")}
+    return got.select(*[(new[c].cast(docs.schema[c].dataType) if c in new else F.col("row").getField(c)).alias(c) for c in docs.columns])
