@@ -7,10 +7,12 @@ are looked at, and a line without any is its own template (this support counts r
 documents is dropped, except in the document with the smallest doc_id that has it, so that groups of copies keep one original.
 
 The tree is a set of aggregates: lines are counted once per document, equal lines are merged before the leaves are, and only leaves
-with several different lines are looked into. No leaf is held by one task.
+with several different lines are looked into. Joins by leaf, line and template spread the few keys that many lines have (see
+`common.join_spread`), so no task gets all lines of a leaf.
 
 Lines with fewer than `least_tokens` tokens stay. Null and empty texts have no lines to drop and stay as they are. Rows that agree in
-doc_id and text are one document. A document that loses all its lines stays with an empty text.
+doc_id and text are one document. A document that loses all its lines stays with an empty text. Texts with any number of lines are
+handled whole; the table may have any other columns, which stay as they are, and an empty table has no rows.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch, cut, key_of, map_arrow
+from .common import batch, cut, join_spread, key_of, map_arrow, packed, unpacked
 
 LEAST_DOCS, LEAST_TOKENS, DEPTH, FIELDS, CONSTANT = 3, 5, 3, 16, 0.6
 _DIGIT = re.compile(rb"[0-9]")
@@ -75,39 +77,48 @@ def lines(docs: DataFrame, least_tokens: int = LEAST_TOKENS, depth: int = DEPTH,
 
 
 def recurring(docs: DataFrame, least_docs: int = LEAST_DOCS, least_tokens: int = LEAST_TOKENS, depth: int = DEPTH, fields: int = FIELDS, constant: float = CONSTANT) -> DataFrame:
-    """key, at: the line numbers to drop, one row for each document that loses a line."""
+    """key, doc_id, at: the line numbers to drop, one row for each document that loses a line."""
     found = cut(lines(docs, least_tokens, depth, fields))
-    each = found.groupBy("leaf", "line").agg(F.count("*").alias("n_docs"))
+    each = cut(found.groupBy("leaf", "line").agg(F.count("*").alias("n_docs")))
     # Leaves with several lines that together occur often enough, and the support of each field value in them. Only their fields move.
-    rich = each.groupBy("leaf").agg(F.sum("n_docs").alias("n"), F.count("*").alias("n_lines")).filter((F.col("n") >= least_docs) & (F.col("n_lines") > 1)).select("leaf")
-    inside = cut(found.select("leaf", "line", "fields").join(rich, "leaf", "left_semi").groupBy("leaf", "line").agg(F.count("*").alias("n_docs"), F.first("fields").alias("fields")))
+    rich = each.groupBy("leaf").agg(F.sum("n_docs").alias("n"), F.count("*").alias("n_lines")).filter((F.col("n") >= least_docs) & (F.col("n_lines") > 1)).select("leaf", "n")
+    inside = join_spread(found.select("leaf", "line", "fields"), cut(rich), ["leaf"], "n", "left_semi")
+    inside = cut(inside.groupBy("leaf", "line").agg(F.count("*").alias("n_docs"), F.first("fields").alias("fields")))
     spread = inside.select("leaf", "line", "n_docs", F.size("fields").alias("k"), F.posexplode("fields").alias("place", "value"))
-    support = spread.groupBy("leaf", "place", "value").agg(F.sum("n_docs").alias("s")).filter(F.col("s") >= least_docs).drop("s")
-    kept = spread.join(support, ["leaf", "place", "value"]).groupBy("leaf", "line").agg(F.count("*").alias("n_kept"), F.max("k").alias("k"), F.sum(F.xxhash64("place", "value").cast("decimal(38,0)")).alias("shape"))
+    support = spread.groupBy("leaf", "place", "value").agg(F.sum("n_docs").alias("s"), F.count("*").alias("n")).filter(F.col("s") >= least_docs).drop("s")
+    kept = join_spread(spread, cut(support), ["leaf", "place", "value"], "n")
+    kept = kept.groupBy("leaf", "line").agg(F.count("*").alias("n_kept"), F.max("k").alias("k"), F.sum(F.xxhash64("place", "value").cast("decimal(38,0)")).alias("shape"))
     templates = kept.filter(F.col("n_kept") >= constant * F.col("k")).select("leaf", "line", F.xxhash64(F.lit(1), "leaf", "shape").alias("template"))
     # Other lines are their own templates; those of one document are left out at once.
-    own = each.filter(F.col("n_docs") >= least_docs).select("leaf", "line", F.xxhash64(F.lit(2), "leaf", "line").alias("own"))
-    named = own.join(templates, ["leaf", "line"], "full_outer").select("leaf", "line", F.coalesce("template", "own").alias("template"))
-    at = found.drop("fields").join(named, ["leaf", "line"])
-    per_doc = at.groupBy("template", "key").agg(F.min("doc_id").alias("doc_id"))
+    named = each.join(templates, ["leaf", "line"], "left").filter((F.col("n_docs") >= least_docs) | F.col("template").isNotNull())
+    named = named.select("leaf", "line", F.coalesce("template", F.xxhash64(F.lit(2), "leaf", "line")).alias("template"), "n_docs")
+    at = cut(join_spread(found.drop("fields"), cut(named), ["leaf", "line"], "n_docs").select("template", "key", "doc_id", "at"))
+    per_doc = at.groupBy("template", "key", "doc_id").agg(F.count("*").alias("n"))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "key")).alias("first")
-    often = per_doc.groupBy("template").agg(F.count("*").alias("n_docs"), first).filter(F.col("n_docs") >= least_docs).select("template", F.col("first.key").alias("keeper"))
-    drop = at.join(often, "template").filter("key <> keeper")
-    return drop.groupBy("key").agg(F.array_distinct(F.flatten(F.collect_list("at"))).alias("at"))
+    often = per_doc.groupBy("template").agg(F.count("*").alias("n_docs"), F.sum("n").alias("n"), first).filter(F.col("n_docs") >= least_docs)
+    often = cut(often.select("template", "n", F.col("first.key").alias("keeper"), F.col("first.doc_id").alias("keeper_id")))
+    drop = join_spread(at, often, ["template"], "n").filter(~((F.col("key") == F.col("keeper")) & F.col("doc_id").eqNullSafe(F.col("keeper_id"))))
+    return drop.groupBy("key", "doc_id").agg(F.array_distinct(F.flatten(F.collect_list("at"))).alias("at"))
 
 
 def apply(docs: DataFrame, extra: bool = False, **how) -> DataFrame:
     """docs with the recurring lines taken out of the text (and n_chars, if there, made new). extra: with n_lines and n_dropped."""
-    drop = recurring(docs, **how).select(F.col("key").alias("__k"), F.col("at").alias("__at"))
-    rows = docs.withColumn("__key", key_of()).join(drop, F.col("__key") == F.col("__k"), "left")
-    all_lines = F.split("text", "\n", -1)
-    left = F.array_join(F.filter(all_lines, lambda x, i: ~F.array_contains(F.col("__at"), i)), "\n")
-    columns = docs.columns
-    if extra:
-        rows = rows.withColumn("n_lines", F.coalesce(F.size(all_lines), F.lit(0)).cast("long"))
-        rows = rows.withColumn("n_lines", F.greatest("n_lines", F.lit(0))).withColumn("n_dropped", F.greatest(F.coalesce(F.size("__at"), F.lit(0)), F.lit(0)).cast("long"))
-        columns = [*columns, "n_lines", "n_dropped"]
-    rows = rows.withColumn("text", F.when(F.col("__at").isNull(), F.col("text")).otherwise(left))
+    drop = recurring(docs, **how)
+    rows = packed(docs).alias("r").join(drop.alias("d"), (F.col("r.key") == F.col("d.key")) & F.col("r.doc_id").eqNullSafe(F.col("d.doc_id")), "left").select("r.row", "d.at")
+    text = F.col("row").getField("text")
+    all_lines = F.split(text, "\n", -1)
+    # A flag for each line, made by one set difference and one sort, so a text's cost does not grow with lines times dropped lines.
+    stay = F.array_except(F.sequence(F.lit(0), F.size(all_lines) - 1), "at")
+    flag = lambda numbers, value: F.transform(numbers, lambda i: F.struct(i.alias("i"), F.lit(value).alias("stays")))
+    flags = F.array_sort(F.concat(flag(stay, True), flag(F.col("at"), False)))
+    left = F.array_join(F.zip_with(all_lines, flags, lambda x, f: F.when(f["stays"], x)), "\n")
+    rows = rows.withColumn("left", F.when(F.col("at").isNull(), text).otherwise(left))
+    new = {"text": F.col("left")}
     if "n_chars" in docs.columns:
-        rows = rows.withColumn("n_chars", F.when(F.col("__at").isNull(), F.col("n_chars")).otherwise(F.char_length("text")).cast(docs.schema["n_chars"].dataType))
-    return rows.select(columns)
+        new["n_chars"] = F.when(F.col("at").isNull(), F.col("row").getField("n_chars")).otherwise(F.char_length("left"))
+    if not extra:
+        return unpacked(rows, docs, **new)
+    rows = rows.withColumn("n_lines", F.greatest(F.coalesce(F.size(all_lines), F.lit(0)), F.lit(0)).cast("long"))
+    rows = rows.withColumn("n_dropped", F.greatest(F.coalesce(F.size("at"), F.lit(0)), F.lit(0)).cast("long"))
+    columns = unpacked(rows, docs, **new).columns
+    return rows.select(*[(new[c].cast(docs.schema[c].dataType) if c in new else F.col("row").getField(c)).alias(c) for c in columns], "n_lines", "n_dropped")

@@ -11,7 +11,8 @@ fingerprint, which give the same components. Keys with more than `tile` fingerpr
 slots is a tile of its own, so a task holds two slots of one key, whatever the size of the key.
 
 Null and empty texts have the fingerprint zero and link to each other. Rows that repeat have the same fingerprint. The component of
-documents is their smallest doc_id that is not null, or null if all are.
+documents is their smallest doc_id that is not null, or null if all are. Texts of any length are handled whole; the table may have any
+other columns; an empty table has no rows. A fingerprint or a component that a third of all rows has is spread (`common.join_spread`).
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, key_of, map_arrow
+from .common import cut, join_spread, key_of, map_arrow, packed, unpacked
 from .graph import components
 
 RADIUS, BLOCKS, PIVOTS, TILE, SHINGLE = 4, 6, 16, 2048, 4
@@ -188,17 +189,21 @@ def edges(nodes: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS, n_pivots
 def groups(docs: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS, n_pivots: int = PIVOTS, tile: int = TILE, size: int = SHINGLE) -> DataFrame:
     """key, doc_id, fp, component (its smallest fingerprint), component_id of every row."""
     rows = cut(fingerprints(docs, size))
-    nodes = rows.groupBy("fp").agg(F.min("doc_id").alias("least"))
+    nodes = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")))
     linked = components(edges(nodes, radius, blocks, n_pivots, tile))
-    named = nodes.join(linked, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("component", "fp").alias("component"))
-    ids = named.groupBy("component").agg(F.min("least").alias("component_id"))
-    named = named.join(ids, "component").select(F.col("fp").alias("node"), "component", "component_id")
-    return rows.join(named, F.col("fp") == F.col("node")).drop("node")
+    # Only fingerprints with links are looked up; the others are components of their own.
+    linked = cut(nodes.join(linked, F.col("fp") == F.col("node")).select("fp", "component", "least"))
+    ids = cut(linked.groupBy("component").agg(F.min("least").alias("component_id"), F.count("*").alias("members")))
+    named = join_spread(linked.select("fp", "component"), ids, ["component"], "members")
+    named = nodes.select("fp", "least", "n").join(named.withColumnRenamed("fp", "node"), F.col("fp") == F.col("node"), "left")
+    named = named.select("fp", F.coalesce("component", "fp").alias("component"), F.when(F.col("node").isNull(), F.col("least")).otherwise(F.col("component_id")).alias("component_id"), "n")
+    return join_spread(rows, cut(named), ["fp"], "n")
 
 
 def keep_one(docs: DataFrame, found: DataFrame | None = None, **how) -> DataFrame:
     """One row of docs of each group, with the columns of docs: the one of the smallest doc_id, then key. found: groups by another method."""
     best = (groups(docs, **how) if found is None else found).groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "key")).alias("m"))
-    kept = best.select(F.col("m.key").alias("__kept"))
-    rows = docs.withColumn("__key", key_of())
-    return rows.join(kept, F.col("__key") == F.col("__kept"), "left_semi").dropDuplicates(["__key"]).select(docs.columns)
+    kept = best.select(F.col("m.doc_id").alias("kept_id"), F.col("m.key").alias("kept_key"))
+    # No other row has this doc_id and key but its repeats, of which one stays.
+    rows = packed(docs).join(kept, (F.col("key") == F.col("kept_key")) & F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi")
+    return unpacked(rows.dropDuplicates(["key", "doc_id"]), docs)
