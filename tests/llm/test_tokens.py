@@ -164,3 +164,47 @@ def test_reader_takes_only_the_frames_it_needs_and_checks_them(tmp_path):
     broken[int(r.at[k]) + 8] ^= 255
     with pytest.raises(Exception):  # noqa: B017
         token_store.Reader(lambda a, n: bytes(broken[a : a + n]), len(data)).find(40)
+
+
+def test_counts_by_the_shuffled_join(spark, edges):
+    """Few pre-tokens go to every task, the others are joined; pre-tokens with NUL among them."""
+    tokenizer = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    n = lambda t: len(tokenizer.encode(t or "", add_special_tokens=False).ids)
+    rows, df = edges
+    rng = random.Random(11)
+    made = [" ".join(rng.choice(["the", "cat", f"w{rng.randrange(900)}", "a\x00b", "\x00\x00", "<|endoftext|>x", "Ünï"]) for _ in range(rng.randrange(80))) for _ in range(400)]
+    more = spark.createDataFrame(list(enumerate(made)), "doc_id long, text string").repartition(5)
+    for hot in (1, 20):
+        assert Counter((r["doc_id"], r["n_tokens"]) for r in token_counts.count(df, hot=hot).collect()) == Counter((r[0], n(r[1])) for r in rows)
+        assert {r["doc_id"]: r["n_tokens"] for r in token_counts.count(more, hot=hot).collect()} == {i: n(t) for i, t in enumerate(made)}
+
+
+def test_counts_of_another_kind_of_tokenizer(spark):
+    """A file whose rules are not known is asked about whole texts."""
+    texts = ["Hello  World's <|endoftext|> x", "", "It's 12,345!"]
+    got = {r["doc_id"]: r["n_tokens"] for r in token_counts.count(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), P.path("word_bpe_49k.json")).collect()}
+    assert got == {i: len(word_tokenizer().encode(t, add_special_tokens=False).ids) for i, t in enumerate(texts)}
+
+
+def test_store_of_another_kind_of_tokenizer(spark):
+    texts = ["Hello  World's x", "", " It's 12,345!\n\n"]
+    other = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: np.frombuffer(r["ids"], "<u4").tolist() for r in token_store.encode(df, P.path("byte_bpe_50k.json"), 50256, "<u4").collect()}
+    assert got == {i: [*other.encode(t, add_special_tokens=False).ids, 50256] for i, t in enumerate(texts)}
+
+
+def test_store_extreme_ids_and_files_opened(spark, tmp_path, monkeypatch):
+    """The least id is an id, a null none; of given documents only their files are opened; files are read by several tasks."""
+    ids = [None, -(2**63), 2**63 - 1, *range(0, 4000, 2)]
+    df = spark.createDataFrame([(i, f"text of {i}", 1) for i in ids], "doc_id long, text string, start int")
+    folder = f"file://{tmp_path}/c"
+    manifest = token_store.write(df, folder, per_file=100)
+    assert Counter(r["doc_id"] for r in token_store.read(manifest, folder).collect()) == Counter(ids)
+    files = manifest.count()
+    assert files >= 20 and token_store.read(manifest, folder).rdd.getNumPartitions() == files
+    kept = {r["name"] for r in manifest.collect() if r["least"] <= -(2**63) or (r["least"] or 0) <= 1000 <= (r["most"] or 0)}
+    for p in (tmp_path / "c").iterdir():
+        if p.name not in kept:
+            p.unlink()
+    assert sorted(r["doc_id"] for r in token_store.read(manifest, folder, [1000, 1001, -(2**63)]).collect()) == [-(2**63), 1000]
