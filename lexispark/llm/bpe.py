@@ -1,11 +1,13 @@
 """Byte-level BPE encoding and decoding by overlapping chunks.
 
-Texts up to `chunk` code points are one chunk. Longer ones are dealt out as overlapping chunks, which other tasks pre-tokenise and
-encode; each chunk's right overlap reaches past the next place where the pattern must break, so that the boundaries of neighbours
-meet there, and the stitching takes each chunk's pieces from the first boundary that it has in common with its predecessor.
-Decoding concatenates the raw bytes of the ids.
-
-Null texts count as empty: no ids. Rows that repeat are encoded each; a null doc_id stays null.
+A text is dealt out as overlapping chunks of `chunk` code points (a text up to that length is one chunk). Chunks are pre-tokenised in
+parallel; each chunk's right overlap reaches past the next place where the pattern must break, so that the boundaries of neighbours meet
+there. Stitching, on boundaries alone, gives each chunk the pre-tokens from the first boundary that it has in common with its
+predecessor to the first that it has in common with its successor. Only then are the pieces encoded, each chunk's own in parallel, each
+different piece of a worker once, and a text's ids are put together in order. Decoding concatenates the raw bytes of the ids.
+
+Null texts count as empty: no ids. Rows that repeat are encoded each; a null doc_id stays null. Texts of any length are handled whole;
+columns besides doc_id and text are not looked at; an empty table has no rows.
 """
 
 from __future__ import annotations
@@ -16,18 +18,20 @@ import re
 from array import array
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch, map_arrow
-from .memo import Memo, segments
+from .common import batch, cut, map_arrow, parts_for
 
 CHUNK, OVERLAP = 32_768, 256
-#: Segments, and pieces of long texts, that a worker holds before it starts anew; they may lie in one process.
-HELD, HELD_PIECES = 250_000, 150_000
+#: Pieces that a worker holds before it starts anew, and the longest that it holds (code points).
+HELD, LONGEST = 300_000, 48
+#: Chunks of long texts that a task pre-tokenises or encodes.
+CHUNKS_PER_TASK = 64
 _BREAK = re.compile(r"\S[ \n]")
 
 
@@ -51,12 +55,6 @@ def encoding(path: str):
     return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks(path), special_tokens={})
 
 
-@lru_cache(4)
-def memo(path: str) -> Memo:
-    enc = encoding(path)
-    return Memo(lambda texts: [array("I", enc.encode_ordinary(x)).tobytes() for x in texts], HELD)
-
-
 @lru_cache(2)
 def _pattern():
     import public_tokenizers
@@ -75,72 +73,80 @@ def windows(text: str, chunk: int, overlap: int) -> Iterator[tuple[int, int]]:
         yield begin, end
 
 
-def encode_chunk(text: str, begin: int, whole: bool, path: str) -> tuple[np.ndarray, np.ndarray, bytes]:
-    """Boundaries of the pieces (in the document), ids in each, all ids; pieces that more text could change are left out."""
-    spans = [(m.start(), m.end()) for m in _pattern().finditer(text)]
+def pretokenise(text: str, begin: int, whole: bool) -> np.ndarray:
+    """Boundaries of the pieces (in the document), first and last included; pieces that more text could change are left out."""
+    ends = [m.end() for m in _pattern().finditer(text)]
     if not whole:
-        while spans and spans[-1][1] >= len(text) - 1:
-            spans.pop()
-    held = _pieces(path)
-    if len(held) > HELD_PIECES:
-        held.clear()
-    pieces = [text[a:b] for a, b in spans]
-    missing = [p for p in dict.fromkeys(pieces) if p not in held]
-    if missing:
-        held.update(zip(missing, (array("I", encoding(path).encode_ordinary(x)).tobytes() for x in missing), strict=True))
-    ids = [held[p] for p in pieces]
-    return np.array([a + begin for a, _ in spans] + [spans[-1][1] + begin if spans else begin], "<i8"), np.array([len(x) // 4 for x in ids], "<i4"), b"".join(ids)
-
+        while ends and ends[-1] >= len(text) - 1:
+            ends.pop()
+    return np.array([0, *ends], "<i8") + begin
 
-@lru_cache(2)
-def _pieces(path: str) -> dict[str, bytes]:
-    return {}
 
-
-def stitch(chunks: list[tuple[np.ndarray, np.ndarray, np.ndarray]], begins: list[int], wholes: list[bool]) -> np.ndarray:
-    """Ids of the whole text from (boundaries, counts, ids) of its chunks in order; wholes: whether a chunk ends with the text."""
-    out, now, at = [], 0, 0
+def stitch(bounds: list[np.ndarray], begins: list[int], wholes: list[bool]) -> Iterator[tuple[int, np.ndarray]]:
+    """Number and own boundaries of each chunk that has pieces of its own, in order; wholes: whether a chunk ends with the text."""
+    now, at = 0, 0
     while now is not None:
-        bounds, counts, ids = chunks[now]
         until, then = None, None
-        for j in range(now + 1, len(chunks)):
-            common = np.intersect1d(bounds[bounds >= max(at, begins[j])], chunks[j][0], assume_unique=True)
+        for j in range(now + 1, len(bounds)):
+            common = np.intersect1d(bounds[now][bounds[now] >= max(at, begins[j])], bounds[j], assume_unique=True)
             if len(common):
                 until, then = int(common[0]), j
                 break
         if until is None and not wholes[now]:
             raise ValueError("chunks do not meet")
-        sums = np.concatenate([[0], np.cumsum(counts)])
-        lo = np.searchsorted(bounds, at)
-        hi = len(counts) if until is None else np.searchsorted(bounds, until)
-        out.append(ids[sums[lo] : sums[hi]])
+        own = bounds[now][bounds[now] >= at]
+        yield now, own if until is None else own[own <= until]
         now, at = then, until
-    return np.concatenate(out) if out else np.zeros(0, "<u4")
+
+
+@lru_cache(2)
+def _held(path: str) -> dict[str, bytes]:
+    return {}
+
+
+def encode_pieces(texts: list[list[str]], path: str) -> list[bytes]:
+    """Packed ids of each list of pieces. Long pieces are not held for the next call."""
+    held, coded = _held(path), encoding(path).encode_ordinary
+    if len(held) > HELD:
+        held.clear()
+    long = {}
+    for p in {p for t in texts for p in t}.difference(held):
+        (held if len(p) <= LONGEST else long)[p] = array("I", coded(p)).tobytes()
+    if long:
+        return [b"".join([held[p] if p in held else long[p] for p in t]) for t in texts]
+    return [b"".join(map(held.__getitem__, t)) for t in texts]
 
 
 def encode(docs: DataFrame, path: str | None = None, chunk: int = CHUNK, overlap: int = OVERLAP, decoded: bool = False) -> DataFrame:
     """doc_id, n_tokens, ids (unsigned 32-bit little-endian) of every row. decoded: with the SHA-256 of the bytes that the ids decode to."""
-    path = path or default_path()
-    names, types = ["doc_id", "n_tokens", "ids"], [pa.int64(), pa.int64(), pa.binary()]
-    if decoded:
-        names, types = [*names, "decoded_sha256"], [*types, pa.string()]
+    return _encoded(docs, path or default_path(), chunk, overlap, ("decoded_sha256",) if decoded else (), True)
+
+
+def _encoded(docs: DataFrame, path: str, chunk: int, overlap: int, digests: tuple[str, ...], ids_too: bool) -> DataFrame:
+    names, types = ["doc_id", "n_tokens"], [pa.int64(), pa.int64()]
+    if ids_too:
+        names, types = [*names, "ids"], [*types, pa.binary()]
+    names, types = [*names, *digests], [*types, *[pa.string()] * len(digests)]
 
-    # In the workers that encode: another mapInArrow after them would double the workers of an executor.
+    # Digests are taken in the workers that hold the ids: another mapInArrow after them would double the workers of an executor.
     def coded_rows(doc_ids, ids):
-        columns = [doc_ids, [len(x) // 4 for x in ids], ids]
-        if decoded:
-            columns.append([hashlib.sha256(decode(np.frombuffer(x, "<u4"), path)).hexdigest() for x in ids])
+        columns = [doc_ids, [len(x) // 4 for x in ids]]
+        if ids_too:
+            columns.append(ids)
+        if digests:
+            raw, said = _tables(path)
+            numbers = [np.frombuffer(x, "<u4") for x in ids]
+            of = {"ids_sha256": (said, b" "), "decoded_sha256": (raw, b"")}
+            columns += [[hashlib.sha256(of[d][1].join(of[d][0][x].tolist())).hexdigest() for x in numbers] for d in digests]
         return batch(names, types, columns)
 
+    schema = ", ".join(f"{n} {'binary' if n == 'ids' else 'string' if n in digests else 'long'}" for n in names)
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
 
-    def short(batches):
-        held = memo(path)
+    def one_chunk(batches):
+        split = _pattern().findall
         for b in batches:
-            parts = [segments(t) for t in b.column("text").to_pylist()]
-            held.load(parts)
-            ids = [b"".join(held.values(p)) for p in parts]
-            yield coded_rows(b.column("doc_id").to_pylist(), ids)
+            yield coded_rows(b.column("doc_id").to_pylist(), encode_pieces([split(t) for t in b.column("text").to_pylist()], path))
 
     def deal(batches):
         for b in batches:
@@ -148,38 +154,64 @@ def encode(docs: DataFrame, path: str | None = None, chunk: int = CHUNK, overlap
                 for k, (begin, end) in enumerate(windows(text, chunk, overlap)):
                     yield batch(["key", "doc_id", "k", "begin", "whole", "piece"], [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.bool_(), pa.string()], [[key], [doc_id], [k], [begin], [end == len(text)], [text[begin:end]]])
 
-    def encode_dealt(batches):
+    def boundaries(batches):
         for b in batches:
-            done = [encode_chunk(t, a, w, path) for t, a, w in zip(b.column("piece").to_pylist(), b.column("begin").to_pylist(), b.column("whole").to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays(
-                [b.column(c) for c in ("key", "doc_id", "k", "begin", "whole")] + [pa.array([x[0].tobytes() for x in done], pa.binary()), pa.array([x[1].tobytes() for x in done], pa.binary()), pa.array([x[2] for x in done], pa.binary())],
-                names=["key", "doc_id", "k", "begin", "whole", "bounds", "counts", "ids"],
-            )
+            done = [np.diff(pretokenise(t, 0, w)).astype("<u4").tobytes() for t, w in zip(b.column("piece").to_pylist(), b.column("whole").to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("key", "k", "begin", "whole")), pa.array(done, pa.binary())], names=["key", "k", "begin", "whole", "lengths"])
 
-    def join_up(batches):
-        key, doc_id, chunks, begins, wholes = None, None, [], [], []
+    def meet(batches):
+        key, held = None, ([], [], [], [])
 
         def out():
-            return coded_rows([doc_id], [stitch(chunks, begins, wholes).astype("<u4").tobytes()])
+            own = [(held[0][i], int(x[0]) - held[1][i], np.diff(x).astype("<u4").tobytes()) for i, x in stitch(held[3], held[1], held[2])]
+            return batch(["key", "k", "skip", "lengths"], [pa.int64(), pa.int32(), pa.int64(), pa.binary()], [[key] * len(own), *map(list, zip(*own, strict=True))])
 
         for b in batches:
             for r in b.to_pylist():
-                if chunks and r["key"] != key:
+                if held[0] and r["key"] != key:
                     yield out()
-                    chunks, begins, wholes = [], [], []
-                key, doc_id = r["key"], r["doc_id"]
-                begins.append(r["begin"])
-                wholes.append(r["whole"])
-                chunks.append((np.frombuffer(r["bounds"], "<i8"), np.frombuffer(r["counts"], "<i4"), np.frombuffer(r["ids"], "<u4")))
-        if chunks:
+                    held = ([], [], [], [])
+                key = r["key"]
+                bounds = np.concatenate([[0], np.cumsum(np.frombuffer(r["lengths"], "<u4").astype("i8"))]) + r["begin"]
+                for x, v in zip(held, (r["k"], r["begin"], r["whole"], bounds), strict=True):
+                    x.append(v)
+        if held[0]:
             yield out()
 
-    schema = "doc_id long, n_tokens long, ids binary" + (", decoded_sha256 string" if decoded else "")
-    brief = map_arrow(rows.filter(F.char_length("text") <= chunk), short, schema)
-    long = rows.filter(F.char_length("text") > chunk).withColumn("key", F.monotonically_increasing_id())
-    dealt = map_arrow(long, deal, "key long, doc_id long, k int, begin long, whole boolean, piece string")
-    coded = map_arrow(dealt.repartition("key", "k"), encode_dealt, "key long, doc_id long, k int, begin long, whole boolean, bounds binary, counts binary, ids binary")
-    return brief.unionByName(map_arrow(coded.repartition("key").sortWithinPartitions("key", "k"), join_up, schema))
+    def encode_own(batches):
+        for b in batches:
+            pieces = []
+            for text, skip, lengths in zip(*(b.column(c).to_pylist() for c in ("piece", "skip", "lengths")), strict=True):
+                ends = list(accumulate(np.frombuffer(lengths, "<u4").tolist(), initial=skip))
+                pieces.append([text[x:y] for x, y in zip(ends, ends[1:], strict=False)])
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("key", "doc_id", "k")), pa.array(encode_pieces(pieces, path), pa.binary())], names=["key", "doc_id", "k", "ids"])
+
+    def join_up(batches):
+        key, doc_id, parts = None, None, []
+        for b in batches:
+            for r in b.to_pylist():
+                if parts and r["key"] != key:
+                    yield coded_rows([doc_id], [b"".join(parts)])
+                    parts = []
+                key, doc_id = r["key"], r["doc_id"]
+                parts.append(r["ids"])
+        if parts:
+            yield coded_rows([doc_id], [b"".join(parts)])
+
+    size = F.char_length("text")
+    brief = map_arrow(rows.filter(size <= chunk), one_chunk, schema)
+    long = rows.filter(size > chunk)
+    n = long.agg(F.coalesce(F.sum(F.ceil(size / chunk)), F.lit(0))).first()[0]
+    if not n:
+        return brief
+    # Numbers of partitions by the number of chunks: their bytes say little of the work. The checkpoint fixes the keys.
+    tasks = parts_for(n, CHUNKS_PER_TASK)
+    dealt = map_arrow(long.withColumn("key", F.monotonically_increasing_id()), deal, "key long, doc_id long, k int, begin long, whole boolean, piece string")
+    dealt = cut(dealt.repartition(tasks, "key", "k"))
+    met = map_arrow(dealt, boundaries, "key long, k int, begin long, whole boolean, lengths binary").repartition(tasks, "key").sortWithinPartitions("key", "k")
+    own = map_arrow(met, meet, "key long, k int, skip long, lengths binary")
+    coded = map_arrow(dealt.repartition(tasks, "key", "k").join(own.repartition(tasks, "key", "k"), ["key", "k"]), encode_own, "key long, doc_id long, k int, ids binary")
+    return brief.unionByName(map_arrow(coded.repartition(tasks, "key").sortWithinPartitions("key", "k"), join_up, schema))
 
 
 def decode(ids: np.ndarray, path: str | None = None) -> bytes:
@@ -196,6 +228,11 @@ def _tables(path: str) -> tuple[np.ndarray, np.ndarray]:
     return raw, said
 
 
+def coded_digests(docs: DataFrame, path: str | None = None, chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
+    """As digests(encode(docs)), made where the ids are, which then need not leave the workers."""
+    return _encoded(docs, path or default_path(), chunk, overlap, ("ids_sha256", "decoded_sha256"), False)
+
+
 def digests(encoded: DataFrame, path: str | None = None) -> DataFrame:
     """doc_id, n_tokens and the SHA-256 of the decimal ids and of the bytes that the ids decode to."""
     path = path or default_path()

@@ -32,7 +32,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import batch, cut, map_arrow, parts_for, shared_folder
-from .memo import LONGEST
+
 
 INDEX_MAGIC, TABLE_MAGIC, SEEKABLE_MAGIC = 0x184D2A50, 0x184D2A5E, 0x8F92EAB1
 FRAME_BYTES, FILE_BYTES = 1 << 18, 256 << 20
@@ -154,8 +154,8 @@ _TAIL = ".,;:!?)]}\""
 #: Letters that stay one letter in any form, and those and digits.
 _LETTERS = "A-Za-zªµºÀ-ÖØ-öø-įı-ɏ"
 _LATIN, _BEFORE_TAIL = re.compile(f"[{_LETTERS}]+"), re.compile(f"[{_LETTERS}0-9]")
-#: Words that a worker holds before it starts anew.
-HELD = 800_000
+#: Words that a worker holds before it starts anew, and the longest that it holds (code points).
+HELD, LONGEST = 800_000, 48
 #: Words of one call, so that its offsets and pieces stay small.
 _AT_ONCE = 8192
 #: The pre-tokeniser's pattern that the rules for words here are made for.

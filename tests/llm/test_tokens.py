@@ -12,7 +12,7 @@ import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
-from lexispark.llm import bpe, memo, queries, token_counts, token_store
+from lexispark.llm import bpe, queries, token_counts, token_store
 
 
 def sha(x):
@@ -57,20 +57,6 @@ def test_bpe_random_texts(spark):
     assert {r["doc_id"]: r["n_tokens"] for r in token_counts.count(df).collect()} == {i: len(tokenizer.encode(t, add_special_tokens=False).ids) for i, t in enumerate(made)}
 
 
-def test_segments_join_to_the_text():
-    for t in ["", " ", "a", " a", "a  b ", "a\n b", "\n", "  x", "a b c"]:
-        assert " ".join(memo.segments(t)) == t
-
-
-def test_memo_forgets_but_stays_right():
-    m = memo.Memo(lambda xs: [x.upper() for x in xs], held=3)
-    for i in range(30):
-        parts = [[f"w{i}", f"v{i % 4}", "y" * 60]]
-        m.load(parts)
-        assert m.values(parts[0]) == [f"W{i}", f" V{i % 4}", " " + "Y" * 60]
-        assert len(m.later) <= 6
-
-
 def test_counts(spark, sf_dir, texts, edges, nothing):
     tokenizer = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
     n = lambda t: len(tokenizer.encode(t or "", add_special_tokens=False).ids)
