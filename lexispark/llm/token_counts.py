@@ -151,8 +151,8 @@ def count(docs: DataFrame, path: str | None = None, hot: int = HOT) -> DataFrame
     # The checkpoint fixes the numbers of the rows.
     of = cut(frequencies(rows, path, hot_counts(rows, path, hot)))
     pairs = of.filter("pieces is not null").select("id", F.explode(F.arrays_zip(F.split("pieces", _BETWEEN).alias("piece"), "f")).alias("x")).select("id", "x.piece", "x.f")
-    pairs = pairs.repartition("piece")
-    # What is asked of id and f always holds; it makes this exchange the same as the join's, so that the pairs move once.
+    # The filters always hold; by them and by what is asked of id and f this exchange is the same as the join's, so the pairs move once.
+    pairs = pairs.filter("piece is not null and id is not null").repartition("piece")
     distinct = pairs.groupBy("piece").agg(F.max("id").alias("id"), F.max("f").alias("f")).filter("id >= 0 and f > 0").select("piece")
     sums = pairs.join(_counted(distinct, path).hint("merge"), "piece").groupBy("id").agg(F.sum(F.col("f").cast("long") * F.col("n")).alias("cold"))
     n_tokens = F.col("known") + F.coalesce("cold", F.lit(0))
