@@ -29,8 +29,8 @@ def answer(dictionary: DataFrame, line: str, rules: Cli = Cli()) -> list[str]:
     return [f"{r['r']:2d}. {r['w']} ({r['f']})" for r in rows] or ["no suggestions"]
 
 
-def loop(dictionary: DataFrame, lines: Iterable[str] = sys.stdin, out=sys.stdout) -> None:
+def loop(dictionary: DataFrame, lines: Iterable[str] = sys.stdin, out=sys.stdout, rules: Cli = Cli()) -> None:
     for line in lines:
         if line.strip():
             began = time.time()
-            print(*answer(dictionary, line), f"{(time.time() - began) * 1000:.0f} ms", sep="\n", file=out)
+            print(*answer(dictionary, line, rules), f"{(time.time() - began) * 1000:.0f} ms", sep="\n", file=out)

@@ -7,6 +7,9 @@ from dataclasses import asdict, dataclass, field, fields, replace
 from pathlib import Path
 
 
+DEFAULT_PATH = Path.home() / ".config" / "lexispark" / "config.toml"
+
+
 @dataclass(frozen=True)
 class Server:
     max_limit: int = 64
@@ -59,7 +62,7 @@ def dump(config: Config) -> str:
     return "\n".join(f"[{s}]\n" + "".join(f"{k} = {say(v)}\n" for k, v in values.items()) for s, values in asdict(config).items())
 
 
-def load(path: str | Path | None = None, default: Path = Path.home() / ".config" / "lexispark" / "config.toml") -> tuple[Config, Path | None]:
+def load(path: str | Path | None = None, default: Path = DEFAULT_PATH) -> tuple[Config, Path | None]:
     """Settings and the file they come from: the given one, else the default one (made if missing), else built-in values."""
     if path is not None and Path(path).exists():
         return parse(Path(path).read_text()), Path(path)
@@ -74,3 +77,11 @@ def load(path: str | Path | None = None, default: Path = Path.home() / ".config"
 def rebuild(path: Path) -> None:
     path.parent.mkdir(parents=True, exist_ok=True)
     path.write_text(dump(Config()))
+
+
+def update(config: Config, path: Path, **server) -> Config:
+    """The settings with some of the server's changed, saved to the file."""
+    changed = replace(config, server=replace(config.server, **server))
+    path.parent.mkdir(parents=True, exist_ok=True)
+    path.write_text(dump(changed))
+    return changed

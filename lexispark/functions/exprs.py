@@ -118,3 +118,13 @@ def trim_unicode(s: Column) -> Column:
 def rank_list(n: Column) -> Column:
     """1..n as 16-bit numbers, which wrap; empty for n <= 0."""
     return F.when(n > 0, F.transform(F.sequence(F.lit(1).cast("long"), n), lambda i: F.pmod(i, F.lit(RANKS)))).otherwise(F.array().cast("array<bigint>"))
+
+
+def simple_lower(s: Column) -> Column:
+    """Lower case character by character: a dotted capital I gives i, a capital sigma gives the same letter at any place."""
+    return F.lower(F.translate(s, "İΣ", "iσ"))
+
+
+def capitalize_words(words: Column, prefix: Column) -> Column:
+    """Each word of an array with the prefix's capitals at their places."""
+    return F.transform(words, lambda w: capitalize(w, prefix))

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.exprs import BROWSER_MAX_LIMIT, capitalize, threshold
+from ..functions.exprs import BROWSER_MAX_LIMIT, browser_limit, capitalize, simple_lower, threshold
 
 DEPTH = 3
 #: Words that any clamped request reads of a bucket that equals its prefix: 1.5 or 2 times the largest limit.
@@ -19,13 +19,18 @@ def _first(limit: Column | int, factor: str):
     return limit * 2 if factor == "callback" else limit + (F.floor(limit / 2) if isinstance(limit, Column) else limit // 2)
 
 
+def lowered(prefix: str) -> str:
+    """A prefix in lower case, character by character, as exprs.simple_lower has it."""
+    return prefix.translate({0x130: "i", 0x3A3: "σ"}).lower()
+
+
 def complete(dictionary: DataFrame, prefix: str, limit: int, mode: str = "reference") -> DataFrame:
     """word, score, r (1..n): words that start with the lower-cased prefix, best scores first, ties by word.
 
     mode "reference" sorts the first 1.5 * limit words in word order, "callback" the first 2 * limit, "exact" all words. The filters
     on word and rank reach the scan; both limits are top-k operators.
     """
-    low = prefix.lower()
+    low = lowered(prefix)
     short = len(low.encode()) <= 2 or (len(low.encode()) > 2 and len(set(low.encode())) == 1)
     found = dictionary.filter(F.col("word").startswith(low) & (F.col("word") != low) & (F.col("score") >= (24 if short else 20)))
     if mode != "exact":
@@ -52,7 +57,7 @@ def search(dictionary: DataFrame, prefix: str, limit: int, least: int) -> Iterat
 
 
 def postings(dictionary: DataFrame, depth: int = DEPTH, cap: int | None = CAP) -> DataFrame:
-    """bucket, words: for every leading string of 1..depth characters the words that start with it, in word order.
+    """bucket, words, cap: for every leading string of 1..depth characters the words that start with it, in word order.
 
     A bucket shorter than depth is only asked by the prefix that equals it, so its list holds what such requests can read: filtered
     by the bucket's own threshold and, unless cap is None (modes that rank all words), the first `cap` words.
@@ -67,20 +72,24 @@ def postings(dictionary: DataFrame, depth: int = DEPTH, cap: int | None = CAP) -
         words = long.unionByName(short)
     else:
         words = words.select("bucket", entry.alias("e"))
-    return words.groupBy("bucket").agg(F.sort_array(F.collect_list("e")).alias("words"))
+    return words.groupBy("bucket").agg(F.sort_array(F.collect_list("e")).alias("words")).withColumn("cap", F.lit(cap).cast("int"))
 
 
 def complete_batch(requests: DataFrame, lists: DataFrame, mode: str = "reference", depth: int = DEPTH) -> DataFrame:
     """Columns of requests (id, p, l) with s: array of (w, r, score). Works on streams; requests without a match keep an empty list.
 
-    The join is on the bucket alone and above it nothing is shuffled; limits must be clamped to the cap of the lists.
+    The join is on the bucket alone and above it nothing is shuffled. A request that would read beyond a list's cap fails; ask lists
+    without a cap for such limits, and for mode "exact".
     """
-    low = F.lower("p")
+    low = simple_lower(F.col("p"))
     asked = requests.withColumn("__low", low).withColumn("__bucket", F.substring(low, 1, depth))
     hit = asked.join(lists.withColumnRenamed("bucket", "__b"), F.col("__bucket") == F.col("__b"), "left")
     least = threshold(F.col("__low"))
     ok = F.filter(F.coalesce("words", F.array().cast(lists.schema["words"].dataType)), lambda x: x["word"].startswith(F.col("__low")) & (x["word"] != F.col("__low")) & (x["score"] >= least))
     limit = F.greatest(F.lit(0), F.col("l")).cast("int")
+    cut = (F.char_length("__bucket") < depth) & (F.size("words") >= F.col("cap"))
+    beyond = cut if mode == "exact" else cut & (_first(limit, mode) > F.col("cap"))
+    ok = F.when(beyond, F.raise_error(F.lit("the posting lists are too short for this limit or mode"))).otherwise(ok)
     if mode != "exact":
         ok = F.slice(ok, F.lit(1), _first(limit, mode).cast("int"))
     keyed = F.array_sort(F.transform(ok, lambda x: F.struct((-x["score"]).alias("n"), x["word"].alias("word"))))
@@ -92,3 +101,16 @@ def complete_batch(requests: DataFrame, lists: DataFrame, mode: str = "reference
 def flat(answers: DataFrame) -> DataFrame:
     """id, w, r, score: a row per suggestion."""
     return answers.select("id", F.explode("s").alias("x")).select("id", "x.w", "x.r", "x.score")
+
+
+def complete_browser(requests: DataFrame, lists: DataFrame) -> DataFrame:
+    """id, s (array of w, r), c: the browser entry's answers, with its own limits and without validation."""
+    done = complete_batch(requests.withColumn("l", browser_limit(F.coalesce(F.col("l"), F.lit(0))).cast("long")), lists)
+    return done.select("id", F.transform("s", lambda x: F.struct(x["w"].alias("w"), x["r"].alias("r"))).alias("s"), F.size("s").cast("long").alias("c"))
+
+
+def complete_raw(requests: DataFrame, lists: DataFrame) -> DataFrame:
+    """id, s (array of word, frequency, rank), c: as the browser's raw entry, whose limits are not clamped; give it lists without a cap."""
+    done = complete_batch(requests, lists)
+    s = F.transform("s", lambda x: F.struct(x["w"].alias("word"), x["score"].alias("frequency"), x["r"].alias("rank")))
+    return done.select("id", s.alias("s"), F.size("s").cast("long").alias("c"))

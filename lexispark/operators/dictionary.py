@@ -91,7 +91,17 @@ def active(dictionary: DataFrame, ids: DataFrame) -> DataFrame:
     return dictionary.join(ids.withColumnRenamed("id", "chunk_id"), "chunk_id", "left_semi")
 
 
-def evict(dictionary: DataFrame, *chunk_ids: int) -> DataFrame:
+def loaded_ids(dictionary: DataFrame) -> DataFrame:
+    """id: the chunks that the active dictionary holds, in order."""
+    return dictionary.select(F.col("chunk_id").alias("id")).distinct().orderBy("id")
+
+
+def evict(dictionary: DataFrame, *chunk_ids: int, strict: bool = False) -> DataFrame:
+    """The dictionary without these chunks; strict: a chunk that isn't loaded is an error."""
+    if strict:
+        held = {r["id"] for r in dictionary.filter(F.col("chunk_id").isin(*chunk_ids)).select(F.col("chunk_id").alias("id")).distinct().collect()}
+        if missing := sorted(set(chunk_ids) - held):
+            raise ValueError(f"chunk {missing[0]} is not loaded")
     return dictionary.filter(~F.col("chunk_id").isin(*chunk_ids)) if chunk_ids else dictionary
 
 
@@ -110,7 +120,14 @@ def one_per_word(dictionary: DataFrame) -> DataFrame:
 def stats(dictionary: DataFrame, chunks: DataFrame) -> DataFrame:
     """total_words, loaded_chunks, available_chunks, max_frequency of the active dictionary."""
     own = dictionary.agg(F.count("*").alias("total_words"), F.count_distinct("chunk_id").alias("loaded_chunks"), F.coalesce(F.max("score"), F.lit(0)).cast("long").alias("max_frequency"))
-    return own.withColumn("available_chunks", F.lit(chunks.count()).cast("long"))
+    return own.crossJoin(chunks.agg(F.count("*").alias("available_chunks")))  # one row each
+
+
+def completer_stats(dictionary: DataFrame, chunks: DataFrame) -> DataFrame:
+    """name, value: the completer's statistics as a table of names."""
+    one = stats(dictionary, chunks)
+    named = (("totalWords", "total_words"), ("maxFrequency", "max_frequency"), ("loadedChunks", "loaded_chunks"), ("availableChunks", "available_chunks"))
+    return one.select(F.explode(F.array(*[F.struct(F.lit(n).alias("name"), F.col(c).cast("long").alias("value")) for n, c in named], F.struct(F.lit("chunkLoader").alias("name"), F.lit(1).cast("long").alias("value")))).alias("x")).select("x.*")
 
 
 def word_scores(dictionary: DataFrame) -> dict[str, int]:

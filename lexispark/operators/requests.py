@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
+from pathlib import Path
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.exprs import is_valid_input, parse_chunk_count, server_limit
+from ..config import DEFAULT_PATH, rebuild
+from ..functions.exprs import SERVER_MAX_LIMIT, is_valid_input, server_limit
 from . import dictionary as d
 from .complete import complete_batch
 
 MIN_PREFIX, MAX_PREFIX = 1, 60
 
 
-def validate(requests: DataFrame, least: int = MIN_PREFIX, most: int = MAX_PREFIX, filtered: bool = True) -> DataFrame:
+def validate(requests: DataFrame, least: int = MIN_PREFIX, most: int = MAX_PREFIX, filtered: bool = True, max_limit: int = SERVER_MAX_LIMIT) -> DataFrame:
     """Adds status (ok, empty: answered without words, error), error and code, in the order of the checks; and the clamped limit l."""
     n, p = F.octet_length("p"), F.coalesce("p", F.lit(""))
     error = (
@@ -21,7 +24,7 @@ def validate(requests: DataFrame, least: int = MIN_PREFIX, most: int = MAX_PREFI
     bad = F.lit(filtered) & ~is_valid_input(p)
     out = requests.withColumn("error", error).withColumn("code", F.when(F.col("error").isNotNull(), 400).cast("long"))
     out = out.withColumn("status", F.when(F.col("error").isNotNull(), "error").when(bad, "empty").otherwise("ok"))
-    return out.withColumn("l", server_limit(F.coalesce(F.col("l"), F.lit(0))).cast("long"))
+    return out.withColumn("l", server_limit(F.coalesce(F.col("l"), F.lit(0)), max_limit).cast("long"))
 
 
 def answer(requests: DataFrame, lists: DataFrame, **rules) -> DataFrame:
@@ -43,8 +46,21 @@ def route(messages: DataFrame) -> DataFrame:
     )
 
 
-def manage(message: dict, dictionary: DataFrame, loaded: int) -> tuple[dict, int]:
-    """Answer to one control message, and the number of chunks that are active after it."""
+def rules_of(server) -> dict:
+    """The settings of config.Server as rules of validate and answer."""
+    return {"least": server.min_prefix, "most": server.max_prefix, "filtered": server.enable_filter, "max_limit": server.max_limit}
+
+
+def chunk_number(x) -> int | None:
+    """A number of chunks as messages give it (whole, with a fraction that is cut off, or digits), or None."""
+    try:
+        return None if isinstance(x, bool) else int(float(x)) if not isinstance(x, str) or "." in x else int(x)
+    except (TypeError, ValueError, OverflowError):
+        return None
+
+
+def manage(message: dict, dictionary: DataFrame, loaded: int, settings: Path | None = None) -> tuple[dict, int]:
+    """Answer to one control message, and the number of chunks that are active after it. settings: the file that is in use."""
     chunks = d.chunk_info(dictionary)
     answer_, action = {"id": message.get("id", ""), "status": "ok"}, message.get("action")
     if action is None and "dictionary_size" in message:
@@ -56,8 +72,16 @@ def manage(message: dict, dictionary: DataFrame, loaded: int) -> tuple[dict, int
     if action == "get_chunk_count" or (action is None and "get_chunk_count" in message):
         return answer_ | {"available_chunks": chunks.count()}, loaded
     if action == "set_size":
-        row = dictionary.sparkSession.range(1).select(parse_chunk_count(F.lit(str(message.get("chunk_count")))).alias("n")).first()
-        if message.get("chunk_count") is None or row["n"] is None or row["n"] < 1:
+        asked = chunk_number(message.get("chunk_count"))
+        if asked is None or asked < 1:
             return answer_ | {"status": "error", "error": "invalid chunk_count"}, loaded
-        return answer_ | {"current_chunks": (n := min(row["n"], chunks.count()))}, n
+        return answer_ | {"current_chunks": (n := min(asked, chunks.count()))}, n
+    if action == "rebuild_config":
+        try:
+            rebuild(settings or DEFAULT_PATH)
+        except OSError as e:
+            return answer_ | {"status": "error", "error": f"Failed to rebuild config file: {e}"}, loaded
+        return answer_, loaded
+    if action == "get_config_path":
+        return answer_ | {"config_path": str(settings or DEFAULT_PATH)}, loaded
     return answer_ | {"status": "error", "error": f"unknown action: {action}"}, loaded

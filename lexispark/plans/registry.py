@@ -26,8 +26,8 @@ def dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def request_table(dict_: DataFrame) -> DataFrame:
-    """id, p, l: leading strings of every 50th word, as they are and in capitals."""
-    some = dict_.filter(F.col("pos") % 50 == 0).select("pos", "word").withColumn("n", F.explode(F.sequence(F.lit(1), F.least(F.lit(4), F.char_length("word")))))
+    """id, p, l: leading strings of up to four characters of every word, as they are and in capitals."""
+    some = dict_.select("pos", "word").withColumn("n", F.explode(F.sequence(F.lit(1), F.least(F.lit(4), F.char_length("word")))))
     some = some.withColumn("p", F.substring(F.col("word"), F.lit(1), F.col("n")))
     first = some.groupBy("p").agg(F.min("pos").alias("pos"))
     both = first.select("p", "pos").unionByName(first.select(F.translate("p", _LOW, _LOW.upper()).alias("p"), "pos"))
@@ -61,10 +61,10 @@ _REP = "(strlen({0}) > 2 AND hex({0}) = repeat(hex({0})[1:2], CAST(strlen({0}) A
 _VALID = r"({0} <> '' AND NOT regexp_full_match({0}, '\p{{Nd}}+') AND NOT regexp_matches({0}, '[^\p{{L}}\p{{Nd}} _./-]') AND NOT " + _REP + ")"
 _THR = "CASE WHEN strlen({0}) <= 2 OR " + _REP + " THEN 24 ELSE 20 END"
 _REQUESTS = """,
-s AS (SELECT pos, substr(word, 1, CAST(n AS BIGINT)) AS p FROM d, unnest([1, 2, 3, 4]) AS u(n) WHERE pos % 50 = 0 AND n <= length(word)),
+s AS (SELECT pos, substr(word, 1, CAST(n AS BIGINT)) AS p FROM d, unnest([1, 2, 3, 4]) AS u(n) WHERE n <= length(word)),
 g AS (SELECT p, min(pos) AS pos FROM s GROUP BY p),
 r AS (SELECT DISTINCT p || ':' || CAST(pos AS VARCHAR) AS id, p, pos % 20 + 1 AS l, lower(p) AS low FROM (SELECT p, pos FROM g UNION ALL SELECT translate(p, 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ'), pos FROM g)),
-m AS (SELECT id, p, l, word, score, row_number() OVER (PARTITION BY id ORDER BY word) AS n FROM r JOIN d ON starts_with(word, low) AND left(word, 1) = left(low, 1) AND word <> low AND score >= """ + _THR.format("low") + ")"
+m AS (SELECT id, p, l, word, score, row_number() OVER (PARTITION BY id ORDER BY word) AS n FROM r JOIN (SELECT word, score, substr(word, 1, CAST(n AS BIGINT)) AS lead FROM d, unnest([1, 2, 3, 4]) AS v(n) WHERE n <= length(word)) ON lead = low AND word <> low AND score >= """ + _THR.format("low") + ")"
 _CAPS = "CASE WHEN regexp_matches({p}, '[A-Z]') THEN list_aggregate(list_transform(range(1, length({w}) + 1), lambda i: coalesce(list_filter(list_transform(range(1, length({p}) + 1), lambda j: CASE WHEN strlen(substr({p}, 1, j - 1)) = i - 1 AND regexp_full_match(substr({p}, j, 1), '[A-Z]') THEN substr({p}, j, 1) END), lambda x: x IS NOT NULL)[1], substr({w}, i, 1))), 'string_agg', '') ELSE {w} END"
 
 
@@ -183,10 +183,10 @@ def format_commas(spark, sf_dir):
     return rows.select("n", e.format_commas(F.col("n")).alias("s"))
 
 
-def _lines(spark, sf_dir):
+def _lines(spark, sf_dir, *more):
     dict_ = dictionary(spark, sf_dir)
     made = F.when(F.col("pos") % 7 == 0, F.concat("word", F.lit("\t"))).when(F.col("pos") % 7 == 1, F.concat("word", F.lit(" x"))).when(F.col("pos") % 7 == 2, F.concat(F.lit("\t"), F.col("frequency").cast("string"))).when(F.col("pos") % 7 == 3, F.concat("word", F.lit("\tb\t"), F.col("frequency").cast("string"))).when(F.col("pos") % 7 == 4, F.concat("word", F.lit("\t"), F.col("frequency").cast("string"), F.lit("x"))).otherwise(F.concat("word", F.lit("\t"), F.col("frequency").cast("string")))
-    return dict_.select(made.alias("value"))
+    return dict_.select(made.alias("value"), *more)
 
 
 _LINES = _DICT + r""", v AS (SELECT CASE pos % 7 WHEN 0 THEN word || chr(9) WHEN 1 THEN word || ' x' WHEN 2 THEN chr(9) || frequency WHEN 3 THEN word || chr(9) || 'b' || chr(9) || frequency
@@ -250,6 +250,53 @@ def binary_roundtrip(spark, sf_dir):
     return files_.mapInPandas(run, "chunk_id long, word string, rank long")
 
 
+def loaded_ids(spark, sf_dir):
+    return d.loaded_ids(d.evict(dictionary(spark, sf_dir), 2))
+
+
+def completer_stats(spark, sf_dir):
+    return d.completer_stats(dictionary(spark, sf_dir), chunk_info(spark, sf_dir))
+
+
+def simple_lower(spark, sf_dir):
+    odd = F.concat(F.col("p"), F.lit("İ ΣΑΣ"))
+    return probes(spark, sf_dir).select("p", e.simple_lower(odd).alias("low"))
+
+
+def capitalize_words(spark, sf_dir):
+    part = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", F.split("p_name", " ").alias("words"), F.substring(F.initcap("p_name"), 1, 2).alias("p"))
+    return part.select("p_partkey", F.array_join(e.capitalize_words(F.col("words"), F.col("p")), " ").alias("s"))
+
+
+def bulk_text(spark, sf_dir):
+    lines = _lines(spark, sf_dir, "pos")
+    return word_lists.bulk(lines.unionByName(lines.select("value", (F.col("pos") + 10_000_000).alias("pos"))), "pos")
+
+
+def bulk_text_count(spark, sf_dir):
+    return word_lists.bulk_count(_lines(spark, sf_dir))
+
+
+def bulk_chunks(spark, sf_dir):
+    """The second chunk is empty and the fourth broken: the first and third are loaded."""
+    files_ = binary_chunks.contents(dictionary(spark, sf_dir))
+    name, content = F.col("filename"), F.col("content")
+    given = F.when(name == "dict_0004.bin", F.substring(content, F.lit(1), F.length(content) - 1)).when(name != "dict_0002.bin", content)
+    return binary_chunks.bulk(files_.select("filename", given.alias("content")))
+
+
+def complete_browser(spark, sf_dir):
+    dict_ = dictionary(spark, sf_dir)
+    asked = request_table(dict_).withColumn("l", F.col("l") * 9 - 20)
+    return c.complete_browser(asked.repartition("p"), c.postings(dict_)).select("id", F.explode("s").alias("x"), "c").select("id", "x.w", "x.r", "c")
+
+
+def complete_raw(spark, sf_dir):
+    dict_ = dictionary(spark, sf_dir)
+    asked = request_table(dict_).withColumn("l", F.col("l") * 11)
+    return c.complete_raw(asked.repartition("p"), c.postings(dict_, cap=None)).select("id", F.explode("s").alias("x")).select("id", "x.word", "x.frequency", "x.rank")
+
+
 def word_frequencies(spark, sf_dir):
     return words(spark, sf_dir)
 
@@ -258,6 +305,7 @@ _ALL = (
     word_frequencies, dict_rank_score, dict_chunks, chunk_info, size_options, load_budget, request_more, resize, evict, loader_stats, max_words, add_word_merge, dup_rank_sum,
     complete_reference, complete_exact, complete_callback, complete_batch, complete_batch_exact, complete_counts, server_validate, limit_normalize, threshold, valid_input, capitalize,
     format_commas, wordlist_builder, wordlist_browser, route_requests, rank_list, contains_ci, prefix_ci, contains_digit, server_answers, binary_roundtrip,
+    loaded_ids, completer_stats, simple_lower, capitalize_words, bulk_text, bulk_text_count, bulk_chunks, complete_browser, complete_raw,
 )
 QUERIES = {f.__name__: f for f in _ALL}
 
@@ -267,6 +315,7 @@ o2 AS (SELECT word, row_number() OVER (ORDER BY frequency DESC, word) AS pos FRO
 d2 AS (SELECT word, pos, least(pos, 65535) AS rank, (65536 - least(pos, 65535)) % 65536 AS score, CAST(ceil(pos / 10000.0) AS BIGINT) AS chunk_id FROM o2)"""
 _BATCH = _DICT + _REQUESTS + ", k AS (SELECT id, p, l, word, score, row_number() OVER (PARTITION BY id ORDER BY score DESC, word) AS r FROM m {where}) "
 _FIRST = "WHERE n <= l + l // 2"
+_BROWSER = _DICT + _REQUESTS.replace("pos % 20 + 1 AS l", "CAST({limit} AS BIGINT) AS l")+ ", k AS (SELECT id, p, l, word, score, row_number() OVER (PARTITION BY id ORDER BY score DESC, word) AS r FROM m WHERE n <= l + l // 2) "
 
 ORACLE_SQL = {
     "word_frequencies": _DICT + "SELECT word, frequency FROM f",
@@ -301,5 +350,15 @@ ORACLE_SQL = {
     "contains_ci": "SELECT p_partkey, contains(lower(p_name), 're') AS has FROM part",
     "prefix_ci": "SELECT p_partkey, starts_with(lower(p_name), 'pa') AS has FROM part",
     "contains_digit": _PROBES + r"SELECT p, regexp_matches(p, '\p{Nd}') AS has FROM p",
+    "loaded_ids": _DICT + "SELECT DISTINCT chunk_id AS id FROM d WHERE chunk_id <> 2",
+    "completer_stats": _DICT + ", x AS (SELECT count(*) AS n, CAST(max(score) AS BIGINT) AS m, count(DISTINCT chunk_id) AS k FROM d) SELECT 'totalWords' AS name, n AS value FROM x UNION ALL SELECT 'maxFrequency', m FROM x UNION ALL SELECT 'loadedChunks', k FROM x UNION ALL SELECT 'availableChunks', k FROM x UNION ALL SELECT 'chunkLoader', CAST(1 AS BIGINT) FROM x",
+    "simple_lower": _PROBES + "SELECT p, lower(p || 'İ ΣΑΣ') AS low FROM p",
+    "capitalize_words": "WITH t AS (SELECT p_partkey, unnest(string_split(p_name, ' ')) AS w, unnest(range(1, len(string_split(p_name, ' ')) + 1)) AS i, upper(substr(p_name, 1, 1)) || lower(substr(p_name, 2, 1)) AS p FROM part) SELECT p_partkey, string_agg(" + _CAPS.format(w="w", p="p") + ", ' ' ORDER BY i) AS s FROM t GROUP BY p_partkey",
+    "bulk_text": _LINES.replace(" AS value FROM d)", " AS value, pos FROM d)") + r", y AS (SELECT pos, substr(value, 1, instr(value, chr(9)) - 1) AS word, coalesce(TRY_CAST(regexp_extract(substr(value, instr(value, chr(9)) + 1), '^[0-9]*') AS BIGINT), 0) AS frequency FROM v WHERE instr(value, chr(9)) > 1 AND instr(value, chr(9)) < length(value)) SELECT word, arg_min(frequency, pos) AS score FROM y GROUP BY word",
+    "bulk_text_count": _LINES + " SELECT count(*) AS words FROM v WHERE instr(value, chr(9)) > 1 AND instr(value, chr(9)) < length(value)",
+    "bulk_chunks": _DICT + "SELECT chunk_id, word, rank FROM d WHERE chunk_id < CASE WHEN EXISTS (SELECT 1 FROM d WHERE chunk_id = 4) THEN 4 ELSE 1000000 END AND chunk_id <> 2",
+    "complete_browser": _BROWSER.replace("{limit}", "least(CASE WHEN (pos % 20 + 1) * 9 - 20 <= 0 THEN 20 ELSE (pos % 20 + 1) * 9 - 20 END, 128)") + f"SELECT id, {_CAPS.format(w='word', p='p')} AS w, r, count(*) OVER (PARTITION BY id) AS c FROM k WHERE r <= l",
+    "complete_raw": _BROWSER.replace("{limit}", "(pos % 20 + 1) * 11") + f"SELECT id, {_CAPS.format(w='word', p='p')} AS word, CAST(score AS BIGINT) AS frequency, r AS rank FROM k WHERE r <= l",
+    "server_answers": _DICT + _PROBES.replace("WITH p AS", ", p AS") + f", a AS (SELECT p, lower(p) AS low, CASE WHEN p = '' OR strlen(p) > 60 THEN 'error' WHEN NOT {_VALID.format('p')} THEN 'empty' ELSE 'ok' END AS status FROM p), n AS (SELECT p, count(*) AS n FROM a JOIN d ON left(word, 1) = left(low, 1) AND starts_with(word, low) AND word <> low AND score >= {_THR.format('low')} WHERE status = 'ok' GROUP BY p) SELECT a.p AS id, status, CASE WHEN status = 'error' THEN CAST(400 AS BIGINT) END AS code, CASE WHEN status <> 'error' THEN CAST(least(5, coalesce(n.n, 0)) AS BIGINT) END AS c FROM a LEFT JOIN n ON n.p = a.p",
     "binary_roundtrip": _DICT + "SELECT chunk_id, word, rank FROM d",
 }

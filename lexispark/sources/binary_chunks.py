@@ -90,20 +90,51 @@ def write(dictionary: DataFrame, folder: str) -> None:
 
 
 def validated(spark: SparkSession, folder: str) -> DataFrame:
-    """filename, format, valid of a folder's .bin and .txt files: size, extension, and a count from 0 to 1,000,000 in a binary header."""
+    """filename, format, valid, reason (where not) of a folder's files: size, extension, and a count from 0 to 1,000,000 in a binary header.
+
+    Files without a byte have no row: Spark's reader leaves them out.
+    """
     raw = spark.read.format("binaryFile").load(folder)
     name = F.regexp_extract("path", r"[^/]+$", 0)
     ext = F.lower(F.regexp_extract(name, r"\.[^.]*$", 0))
     head = F.hex(F.substring("content", 1, 4))
     count = F.conv(F.concat(*[F.substring(head, i, 2) for i in (7, 5, 3, 1)]), 16, 10).cast("long")
     kind = F.when(ext == ".bin", "binary").when(ext == ".txt", "text").otherwise("unknown")
-    valid = F.when(kind == "binary", (F.col("length") >= 4) & (count <= MAX_COUNT)).when(kind == "text", F.col("length") >= 1).otherwise(False)
-    return raw.select(name.alias("filename"), kind.alias("format"), F.coalesce(valid, F.lit(False)).alias("valid"))
+    least = F.when(kind == "binary", 4).otherwise(1)
+    reason = (
+        F.when(kind == "unknown", "unknown format").when(F.col("length") < least, "file too small")
+        .when((kind == "binary") & (count >= 2**31), "negative word count").when((kind == "binary") & (count > MAX_COUNT), "word count too large")
+    )
+    return raw.select(name.alias("filename"), kind.alias("format"), reason.isNull().alias("valid"), reason.alias("reason"))
+
+
+def bulk(files_: DataFrame) -> DataFrame:
+    """chunk_id, word, rank of chunks that come as bytes (filename, content), in the order of their numbers, all or nothing for each.
+
+    Empty content is left out; the first chunk that is broken ends the load, those before it stay. Of a word's repeats in a chunk the
+    last counts.
+    """
+
+    def run(batches):
+        for b in batches:
+            for name, data in zip(b["filename"], b["content"], strict=True):
+                try:
+                    found = dict(decode(data, "FAILFAST"))
+                except ValueError:
+                    yield pd.DataFrame({"filename": [name], "word": [None], "rank": [None]})
+                else:
+                    yield pd.DataFrame({"filename": [name] * len(found), "word": list(found), "rank": list(found.values())})
+
+    given = files_.filter("content is not null and length(content) > 0").select("filename", "content")
+    rows = given.mapInPandas(run, "filename string, word string, rank long").withColumn("chunk_id", chunk_id_of(F.col("filename")).cast("long"))
+    broken = rows.filter("word is null").agg(F.min("chunk_id").alias("broken"))
+    rows = rows.filter("word is not null").crossJoin(F.broadcast(broken))  # one row
+    return rows.filter("broken is null or chunk_id < broken").select("chunk_id", "word", "rank")
 
 
 def formats(spark: SparkSession) -> DataFrame:
     """The known formats."""
-    rows = [("binary", "Binary dictionary chunk", [".bin"], 4), ("text", "Text word list", [".txt"], 1)]
+    rows = [("binary", "Binary Dictionary", [".bin"], 4), ("text", "Plain Text Dictionary", [".txt"], 1)]
     return spark.createDataFrame(rows, "format string, description string, extensions array<string>, min_size long")
 
 

@@ -27,3 +27,13 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     from pyspark.sql import Window as W
 
     return rows.select("word", "frequency", F.row_number().over(W.orderBy("line")).cast("long").alias("pos"))
+
+
+def bulk(lines: DataFrame, order: str) -> DataFrame:
+    """word, score of a list that comes as a whole (value, and a column that orders the lines): of a word's repeats the first counts."""
+    return parse_browser(lines).groupBy("word").agg(F.min_by("frequency", order).alias("score"))
+
+
+def bulk_count(lines: DataFrame) -> DataFrame:
+    """words: the number that such a load reports, repeats included."""
+    return parse_browser(lines).agg(F.count("*").alias("words"))

@@ -1,16 +1,19 @@
 """Fixed cases of the engine, binary chunks, streams, settings."""
 
+import io
 import json
 import struct
 
 import pytest
 from pyspark.sql import functions as F
 
+from lexispark import __main__ as command
 from lexispark import cli, config
 from lexispark.functions import exprs as e
 from lexispark.operators import complete as c
 from lexispark.operators import dictionary as d
 from lexispark.operators import requests as q
+from lexispark.operators.completer import TableCompleter
 from lexispark.sources import binary_chunks as b
 from lexispark.sources import word_lists
 from lexispark.streaming import service
@@ -119,3 +122,105 @@ def test_settings_and_command_line(spark, tmp_path):
     dict_ = table(spark, [("hello", 1000), ("help", 800)])
     assert cli.answer(dict_, " hel\n") == [" 1. hello (1,000)", " 2. help (800)"]
     assert cli.answer(dict_, "12") == ["no suggestions"] and "too long" in cli.answer(dict_, "x" * 25)[0]
+
+
+def test_lists_that_are_too_short_for_a_request_fail(spark):
+    dict_ = table(spark, [(f"t{i:03d}", 100 + i) for i in range(400)])
+    ask = lambda l, **how: c.complete_batch(spark.createDataFrame([("1", "t", l)], "id string, p string, l long"), c.postings(dict_, **how.pop("lists", {})), **how)  # noqa: E731, E741
+    assert len(ask(64).first()["s"]) == 64
+    for l, mode in ((300, "reference"), (64, "exact")):  # noqa: E741
+        with pytest.raises(Exception, match="too short"):
+            ask(l, mode=mode).collect()
+        assert len(ask(l, mode=mode, lists={"cap": None}).first()["s"]) == l
+
+
+def test_bulk_loads(spark):
+    good, broken = b.encode([("a", 1), ("b", 2)]), b.encode([("c", 3)])[:-1]
+    files = spark.createDataFrame([("dict_0001.bin", good), ("dict_0002.bin", b""), ("dict_0003.bin", broken), ("dict_0004.bin", good), ("dict_0005.bin", None)], "filename string, content binary")
+    assert sorted(map(tuple, b.bulk(files).collect())) == [(1, "a", 1), (1, "b", 2)]
+    twice = struct.pack("<i", 2) + (struct.pack("<H", 1) + b"x" + struct.pack("<H", 5)) + (struct.pack("<H", 1) + b"x" + struct.pack("<H", 7))
+    assert [tuple(r) for r in b.bulk(spark.createDataFrame([("dict_0001.bin", twice)], "filename string, content binary")).collect()] == [(1, "x", 7)]
+    lines = spark.createDataFrame([("a\t5", 1), ("a\t9", 2), ("b\tx", 3), ("no", 4)], "value string, n int")
+    assert {r["word"]: r["score"] for r in word_lists.bulk(lines, "n").collect()} == {"a": 5, "b": 0} and word_lists.bulk_count(lines).first()["words"] == 3
+
+
+def test_formats(spark, tmp_path):
+    data = b.encode([("a", 1)])
+    for name, content in (("ok.bin", data), ("short.bin", b"12"), ("big.bin", struct.pack("<i", 2_000_000)), ("minus.bin", struct.pack("<i", -1)), ("list.TXT", b"a\t1"), ("x.csv", b"1")):
+        (tmp_path / name).write_bytes(content)
+    got = {r["filename"]: (r["format"], r["valid"], r["reason"]) for r in b.validated(spark, str(tmp_path)).collect()}
+    assert got == {
+        "ok.bin": ("binary", True, None), "short.bin": ("binary", False, "file too small"), "big.bin": ("binary", False, "word count too large"), "minus.bin": ("binary", False, "negative word count"),
+        "list.TXT": ("text", True, None), "x.csv": ("unknown", False, "unknown format"),
+    }
+    assert {r["format"]: (r["description"], r["min_size"]) for r in b.formats(spark).collect()} == {"binary": ("Binary Dictionary", 4), "text": ("Plain Text Dictionary", 1)}
+
+
+def test_small_functions(spark):
+    one = lambda col: spark.range(1).select(col.alias("x")).first()["x"]
+    assert [one(e.is_separator(F.lit(x))) for x in " _-./a"] == [True] * 5 + [False] and one(e.equal_fold(F.lit("A"), F.lit("a")))
+    assert [one(e.number_or_one(F.lit(x))) for x in ("7", "x")] == [7, 1]
+    assert one(e.capitalize_words(F.array(F.lit("hello"), F.lit("help")), F.lit("HE"))) == ["HEllo", "HElp"]
+    dict_ = spark.createDataFrame([("a", 5, 30, 2), ("a", 9, 20, 1), ("b", 1, 40, 1)], "word string, rank long, score long, chunk_id long")
+    assert sorted(map(tuple, d.one_per_word(dict_).select("word", "score").collect())) == [("a", 20), ("b", 40)] and d.word_scores(dict_.filter("chunk_id = 1")) == {"a": 20, "b": 40}
+    assert list(c.search(dict_.filter("chunk_id = 1"), "", 5, 30)) == [("b", 40)] and d.enough_chunks(dict_, 3) and not d.enough_chunks(dict_, 4)
+    chunks = spark.createDataFrame([(i,) for i in range(1, 7)], "id long")
+    assert sorted(r["id"] for r in d.resize(chunks, 5, loaded=2, mode="reference").collect()) == [1, 2, 3]
+    with pytest.raises(ValueError, match="chunk 7"):
+        d.evict(dict_, 1, 7, strict=True)
+
+
+def test_completer(spark, tmp_path):
+    words = d.positioned(spark.createDataFrame([(f"wo{i:02d}", 100 - i, i) for i in range(1, 26)], "word string, frequency long, pos long"), 10)
+    b.write(words, str(tmp_path / "bin"))
+    own = TableCompleter(spark)
+    own.load_chunk(str(tmp_path / "bin" / "dict_0002.bin"))
+    own.initialize()
+    assert best(own.complete("wo", 3)) == ["wo11", "wo12", "wo13"]
+    own.load_all(str(tmp_path / "bin"))
+    own.add_word("wonder", 99_999)
+    own.add_word("wo01", 1)
+    assert best(own.complete("WOn", 3)) == ["WOnder"] and {r["name"]: r["value"] for r in own.stats().collect()}["totalWords"] == 26
+
+
+def test_stream_of_all_messages(spark, tmp_path):
+    """Control replies reach their sink, what they set outlives a restart, settings act, their file can be made anew."""
+    dict_ = spark.createDataFrame([(f"w{i:02d}", 50 + i, 1 + i // 10) for i in range(30)], "word string, score long, chunk_id long")
+    (tmp_path / "in").mkdir()
+    path, answers, replies = tmp_path / "config.toml", [], []
+
+    def send(name, *messages):
+        (tmp_path / "in" / name).write_text("".join(json.dumps(m) + "\n" for m in messages))
+        query, state = service.serve(
+            service.read_requests(spark, str(tmp_path / "in")), dict_, c.postings, lambda df: answers.extend(df.collect()), 3, str(tmp_path / "cp"),
+            lambda df: replies.extend(df.collect()), lambda: (config.parse("[server]\nmax_limit = 2\nmin_prefix = 2\n"), path),
+        )
+        query.awaitTermination(120)
+        return state
+
+    send("a.json", {"id": "1", "p": "w2", "l": 5}, {"id": "2", "action": "set_size", "chunk_count": 1}, {"id": "3", "action": "rebuild_config"}, {"id": "4", "action": "get_config_path"}, {"id": "5", "action": "no"}, {"id": "6", "p": "w", "l": 5})
+    assert {r["id"]: (r["status"], r["c"], r["error"]) for r in answers} == {"1": ("ok", 2, None), "6": ("error", None, "prefix too short (min: 2)")}
+    assert {r["id"]: (r["status"], r["current_chunks"], r["config_path"]) for r in replies} == {"2": ("ok", 1, None), "3": ("ok", None, None), "4": ("ok", None, str(path)), "5": ("error", None, None)}
+    assert config.parse(path.read_text()) == config.Config()
+    assert send("b.json", {"id": "7", "p": "w2", "l": 5}, {"id": "8", "action": "get_options"})["loaded"] == 1
+    assert [(r["id"], r["c"]) for r in answers][2:] == [("7", 0)] and len(json.loads(replies[-1]["options"])) == 3
+    assert config.update(config.Config(), path, max_limit=5).server.max_limit == config.parse(path.read_text()).server.max_limit == 5
+
+
+def test_line_stream(spark, tmp_path):
+    (tmp_path / "l").mkdir()
+    (tmp_path / "l" / "x.txt").write_text("  hel \n\n　th\n")
+    service.read_lines(spark, str(tmp_path / "l")).writeStream.format("memory").queryName("typed").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start().awaitTermination(60)
+    assert sorted(r["p"] for r in spark.table("typed").collect()) == ["hel", "th"]
+
+
+def test_command(spark, tmp_path):
+    (tmp_path / "words.txt").write_text("".join(f"word{i:02d}\t{100 - i}\n" for i in range(25)))
+    assert command.main(["build", str(tmp_path / "words.txt"), str(tmp_path / "d"), "--chunk-size", "10", "-v"], out=(out := io.StringIO())) == 0
+    assert out.getvalue().split() == ["dict_0001.bin", "10", "dict_0002.bin", "10", "dict_0003.bin", "5"]
+    out = io.StringIO()
+    assert command.main(["complete", str(tmp_path / "d" / "store"), "--limit", "2", "--words", "10", "--config", str(tmp_path / "words.txt")], ["wo\n", "\n", "word1\n"], out) == 0
+    said = out.getvalue().split("\n")
+    assert said[:2] == [" 1. word00 (65,535)", " 2. word01 (65,534)"] and said[3] == "no suggestions"
+    with pytest.raises(ValueError):
+        command.main(["build", str(tmp_path / "words.txt"), str(tmp_path / "e"), "--chunk-size", "0"])
