@@ -5,12 +5,12 @@ and its exception phrases are matched by an Aho-Corasick automaton at word bound
 count, and the sum of weights is set against the number of words. A logistic curve makes it a score.
 
 The lexicon is learned from at most `MOST_ROWS` labelled documents of the folds that are not held out (half of them toxic, if there
-are as many; chosen by a hash of the id), and has at most `MOST_TERMS` terms. A term counts once for each different word that it
+are as many; chosen by a hash of the id); that bounds its terms and exceptions, none of which is left out. A term counts once for each different word that it
 follows, so groups of copies do not make a term. Labels serve learning only; no other column of a document than its text is read for
 a score.
 
 Null and empty texts have no matches and get the score of a text without matches. Rows that repeat are scored each; a null doc_id
-stays null and is not held out. Without labels of both kinds the lexicon is empty and every score is that of no match.
+stays null and is not held out. Texts of any length are matched whole; the table may have any other columns. Without labels of both kinds the lexicon is empty and every score is that of no match.
 """
 
 from __future__ import annotations
@@ -28,10 +28,9 @@ from pyspark.sql import functions as F
 
 from .common import batch, cut, held_out, map_arrow
 
-MOST_ROWS, MOST_TERMS, MOST_EXCEPTIONS = 20_000, 2_000, 2_000
+MOST_ROWS = 20_000
 #: A term needs so many contexts, and so many times the odds in toxic documents.
 LEAST_CONTEXTS, LEAST_SHARE, LEAST_LOG_ODDS = 5, 0.01, 2.0
-EXCEPTIONS = ("trash can", "trash bin", "clown fish", "class clown", "sore loser")
 BINS, TOP = 400, 8.0
 
 _LOOK_ALIKE = {
@@ -70,7 +69,7 @@ def fold(text: str) -> tuple[str, str]:
 @dataclass(frozen=True)
 class Lexicon:
     weights: dict[str, float] = field(default_factory=dict)
-    exceptions: tuple[str, ...] = EXCEPTIONS
+    exceptions: tuple[str, ...] = ()
     slope: float = 4.0
     middle: float = 1.0
 
@@ -118,8 +117,8 @@ def _sample(labels: DataFrame, rows: int) -> DataFrame:
     return half[0].unionByName(half[1])
 
 
-def learn(docs: DataFrame, labels: DataFrame, rows: int = MOST_ROWS, terms: int = MOST_TERMS, exceptions: tuple[str, ...] = EXCEPTIONS) -> Lexicon:
-    """The lexicon from labelled documents. What is broadcast has `rows` rows at most, what is gathered `terms` terms and bins."""
+def learn(docs: DataFrame, labels: DataFrame, rows: int = MOST_ROWS, exceptions: tuple[str, ...] = ()) -> Lexicon:
+    """The lexicon from labelled documents, at most `rows`: what is broadcast and what is gathered comes from them alone."""
     few = F.broadcast(_sample(labels, rows))
     train = cut(docs.select("doc_id", "text").filter("text is not null").join(few, "doc_id").select("text", "toxic"))
 
@@ -138,11 +137,11 @@ def learn(docs: DataFrame, labels: DataFrame, rows: int = MOST_ROWS, terms: int
     found = pairs.groupBy("term").agg(F.count_if(F.col("n1") > 0).alias("c1"), F.count_if(F.col("n0") > 0).alias("c0"))
     odds = F.log((F.col("c1") + 0.5) / (n1 + 1)) - F.log((F.col("c0") + 0.5) / (n0 + 1))
     found = found.filter(F.col("c1") >= max(LEAST_CONTEXTS, LEAST_SHARE * n1)).withColumn("w", odds).filter(F.col("w") >= LEAST_LOG_ODDS)
-    weights = {r["term"]: min(TOP, r["w"]) / TOP for r in found.orderBy(F.desc(F.col("w") * F.sqrt("c1")), "term").limit(terms).collect()}
+    weights = {r["term"]: min(TOP, r["w"]) / TOP for r in found.collect()}
     if not weights:
         return Lexicon({}, exceptions)
     # A phrase that clean documents use and toxic ones do not is an exception.
-    clean = pairs.filter(F.col("term").isin(list(weights)) & (F.col("n1") == 0) & (F.col("n0") >= LEAST_CONTEXTS)).orderBy(F.desc("n0"), "term", "prev").limit(MOST_EXCEPTIONS).collect()
+    clean = pairs.filter(F.col("term").isin(list(weights)) & (F.col("n1") == 0) & (F.col("n0") >= LEAST_CONTEXTS)).orderBy("term", "prev").collect()
     lexicon = Lexicon(weights, (*exceptions, *(f"{r['prev']} {r['term']}" for r in clean if r["prev"])))
 
     def binned(batches):
