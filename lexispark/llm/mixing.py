@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from .common import cut, key_of, parts_for, range_of, running_total
 
-WEIGHTS, MOST, BLOCK, BUCKET_ROWS = (1, 2, 3), 3, 8192, 20_000
+WEIGHTS, MOST, BLOCK, BUCKET_ROWS = (1, 2, 3), 3, 8192, 4_000
 GOLDEN = (math.sqrt(5) - 1) / 2
 #: More sources than this are no mix of sources; their totals are held by the driver.
 MAX_SOURCES = 100_000
