@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from . import bpe, chat, fingerprints, line_dedup, mixing, quality, simhash_dedup, token_counts, token_store, toxicity
 from .common import documents, held_out
+from .oracles import ORACLE_SQL as ORACLE_SQL
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -75,4 +76,3 @@ def op10_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_toxicity, op2_byte_bpe, op3_simhash_dedup, op4_quality_rules, op5_line_dedup, op6_token_counts, op7_chat_format, op8_mixing, op9_fingerprints, op10_token_store)
 }
-ORACLE_SQL: dict[str, str] = {}
