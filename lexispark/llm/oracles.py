@@ -55,4 +55,44 @@ SELECT doc_id, coalesce(len(all_lines), 0) AS n_lines, coalesce(len(list_distinc
   length(left_text) AS kept_chars, sha256(left_text) AS kept_sha256 FROM kept
 """
 
-ORACLE_SQL: dict[str, str] = {"op5_line_dedup": _LINES, "op7_chat_format": _CHAT}
+#: Shares, distances and bounds are those of the operator; distances are rounded as sums in another order differ in their last bits.
+_QUALITY = rf"""
+WITH docs AS MATERIALIZED (SELECT row_number() OVER () AS d, doc_id, lang, coalesce(text, '') AS text FROM documents),
+split AS MATERIALIZED (
+  SELECT *, regexp_extract_all(text, {_WORD}) AS words, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, {_WORD})) AS rows,
+    regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D.,;:?!''"()\[\]{{}}]+') AS plain FROM docs),
+windows AS (SELECT d, unnest(range(1, len(words) - 6)) AS i, words FROM split WHERE len(words) > 8),
+again AS (SELECT d, unnest(list(i)) AS i FROM (SELECT d, i, words[i : i + 7] AS w FROM windows) GROUP BY d, w HAVING count(*) > 1),
+repeats AS (SELECT d, count(DISTINCT j) AS n FROM (SELECT d, unnest(range(i, i + 8)) AS j FROM again) GROUP BY d),
+base AS MATERIALIZED (
+  SELECT d, doc_id, len(words) AS n_words, length(array_to_string(words, '')) AS word_chars, len(regexp_extract_all(text, '[#*$%&|<>]')) AS n_symbols,
+    len(rows) - len(list_distinct(rows)) AS n_dup_lines, coalesce(repeats.n, 0) AS n_repeat_words, len(plain) AS n_plain
+  FROM split LEFT JOIN repeats USING (d)),
+counted AS (
+  SELECT d, lang, text, list_transform(['[a-z]', '[A-Z]', '[0-9]', '[ \t]', '[\n\r\x0B\f]', '[.,;:?]', '!', '[''"()\[\]{{}}_/-]', '[#*$%&|<>]', '[^\x00-\x7F]'], lambda c: len(regexp_extract_all(text, c))) AS known FROM docs),
+classes AS MATERIALIZED (
+  SELECT d, lang, unnest(range(1, 12)) AS k, unnest(known || [length(text) - CAST(list_sum(known) AS BIGINT)]) AS c, greatest(1, length(text)) AS n FROM counted),
+class_refs AS (SELECT lang, k, sum(c) / sum(sum(c)) OVER (PARTITION BY lang) AS q FROM classes GROUP BY lang, k),
+class_parts AS (
+  SELECT d, r.lang, c / n AS p, q FROM classes JOIN class_refs r USING (k)),
+tokens AS MATERIALIZED (SELECT d, lang, unnest(plain) AS word FROM split),
+word_counts AS (SELECT lang, word, count(*) AS n, sum(count(*)) OVER (PARTITION BY lang) AS total FROM tokens GROUP BY lang, word),
+word_refs AS MATERIALIZED (SELECT lang, word, n / total AS q FROM word_counts QUALIFY row_number() OVER (PARTITION BY lang ORDER BY n DESC, word) <= 64),
+own AS (SELECT d, word, count(*) AS c FROM tokens GROUP BY d, word),
+common AS MATERIALIZED (SELECT b.d, r.lang, n_plain, q, coalesce(c, 0) AS c FROM base b JOIN word_refs r ON true LEFT JOIN own o ON o.d = b.d AND o.word = r.word),
+word_parts AS (
+  SELECT d, lang, c / greatest(1, n_plain) AS p, q FROM common
+  UNION ALL SELECT d, lang, (n_plain - sum(c)) / greatest(1, n_plain), greatest(0, 1 - sum(q)) FROM common GROUP BY d, lang, n_plain),
+parts AS (SELECT 'class' AS kind, * FROM class_parts UNION ALL SELECT 'word', * FROM word_parts),
+diverged AS (
+  SELECT kind, d, lang, count(*) FILTER (q > 0) AS n_q, greatest(0, sum(CASE WHEN p > 0 THEN p * log2(2 * p / (p + q)) ELSE 0 END + CASE WHEN q > 0 THEN q * log2(2 * q / (p + q)) ELSE 0 END) / 2) AS js
+  FROM parts GROUP BY kind, d, lang),
+distances AS (SELECT kind, d, lang, n_words, sqrt(greatest(0, js - (n_q - 1) / (8 * ln(2) * greatest(1, n_words)))) AS x FROM diverged JOIN base USING (d)),
+each AS (SELECT d, lang, max(x) FILTER (kind = 'class') AS dc, CASE WHEN any_value(n_words) >= 60 THEN max(x) FILTER (kind = 'word') ELSE 0 END AS dw FROM distances GROUP BY d, lang),
+nearest AS (SELECT d, arg_min({{'dc': dc, 'dw': dw}}, dc / 0.25 + dw / 0.28) AS x FROM each GROUP BY d),
+judged AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM base JOIN nearest USING (d))
+SELECT doc_id, n_words, word_chars, n_symbols, CAST(n_dup_lines AS BIGINT) AS n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND x.dc <= 0.25 AND x.dw <= 0.28 AS kept,
+  CAST(round(x.dc, 6) AS DOUBLE) AS class_distance, CAST(round(x.dw, 6) AS DOUBLE) AS word_distance FROM judged
+"""
+
+ORACLE_SQL: dict[str, str] = {"op4_quality_rules": _QUALITY, "op5_line_dedup": _LINES, "op7_chat_format": _CHAT}

@@ -30,7 +30,8 @@ def op3_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
-    return quality.judge(docs, quality.learn(docs))
+    judged = quality.judge(docs, quality.learn(docs))
+    return judged.withColumns({c: F.round(c, 6) for c in ("class_distance", "word_distance")})
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -18,7 +18,7 @@ def test_sql_twin(name, spark, sf_dir):
     got = queries.QUERIES[name](spark, sf_dir)
     assert sorted(columns) == sorted(got.columns)
     assert Counter(want.fetchall()) == Counter(map(tuple, got.select(*columns).collect()))
-    kinds = {"bigint": "BIGINT", "string": "VARCHAR", "int": "INTEGER"}
+    kinds = {"bigint": "BIGINT", "string": "VARCHAR", "int": "INTEGER", "boolean": "BOOLEAN", "double": "DOUBLE"}
     types = {x[0]: str(x[1]) for x in con.execute(f"DESCRIBE {queries.ORACLE_SQL[name]}").fetchall()}
     assert {c: kinds[t] for c, t in got.dtypes} == types
 
@@ -26,6 +26,6 @@ def test_sql_twin(name, spark, sf_dir):
 @pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
 def test_sql_twin_of_an_empty_table(name):
     con = duckdb.connect()
-    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR, lang VARCHAR)")
     con.execute("CREATE TABLE conversations (conv_id BIGINT, turn BIGINT, role VARCHAR, text VARCHAR)")
     assert len(con.execute(queries.ORACLE_SQL[name]).fetchall()) == (name == "op7_chat_format")

@@ -20,6 +20,29 @@ def test_toxicity_query(spark, sf_dir, texts):
     assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0) for r in rows)
 
 
+def test_toxicity_query_against_plain_search(spark, sf_dir, docs, texts):
+    """The same lexicon, every term and phrase looked for by itself at each place of the folded text."""
+    lexicon = toxicity.learn(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+    def places(low, folded, phrase):
+        found = (m.start() for m in re.finditer(f"(?={re.escape(phrase)})", folded))
+        spans = [(a, a + len(phrase)) for a in found]
+        return [(a, b) for a, b in spans if not low[a - 1 : a].isalpha() and not low[b : b + 1].isalpha()]
+
+    def brute(text):
+        low, folded = toxicity.fold(text)
+        free = [x for p in lexicon.exceptions if p not in lexicon.weights for x in places(low, folded, p)]
+        held = [w for t, w in lexicon.weights.items() for a, b in places(low, folded, t) if not any(x <= a and b <= y for x, y in free)]
+        return lexicon.score(np.log1p(100 * sum(held) / max(20, len(low.split()))) if held else 0.0), len(held)
+
+    rows = queries.op1_toxicity(spark, sf_dir).collect()
+    got = {r["doc_id"]: (r["score"], r["n_matches"]) for r in rows}
+    assert set(got) == set(texts) and any(n for _, n in got.values())
+    for i, t in texts.items():
+        score, n = brute(t)
+        assert got[i][1] == n and abs(got[i][0] - score) < 1e-9
+
+
 def test_toxicity_folds_and_exceptions():
     lexicon = toxicity.Lexicon({"idiot": 1.0, "trash": 0.5}, ("trash can",), 8.0, 0.5)
     auto = lexicon.automaton()
