@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 from ..functions.exprs import MAX_RANK, score_of_rank, size_label
 
 CHUNK_SIZE, MAX_WORDS = 10_000, 50_000
+#: Leading characters by which words are counted on the way to their positions.
+DEPTHS = (2, 4, 6)
 
 
 def word_frequencies(texts: DataFrame, column: str = "text") -> DataFrame:
@@ -20,16 +22,25 @@ def word_frequencies(texts: DataFrame, column: str = "text") -> DataFrame:
 def ranked(frequencies: DataFrame, chunk_size: int = CHUNK_SIZE, max_chunks: int = 0) -> DataFrame:
     """Adds pos (by frequency, then word), rank, score and chunk_id.
 
-    No window spans the table: words are counted by (frequency, first two characters), these counts are accumulated, and words are
-    numbered within their group. Two characters order words as whole words do.
+    No window spans the table. Words are counted by frequency and leading characters, two more at each of `DEPTHS`; a level's counts
+    are accumulated among those that share the level above, so such a window has a row for each pair of characters at most, however
+    many words a frequency has. Words are numbered within their deepest group. Leading characters order words as whole words do.
     """
-    rows = frequencies.withColumn("__p", F.substring("word", 1, 2))
-    sizes = rows.groupBy("frequency", "__p").agg(F.count("*").alias("__n"))
-    before = W.orderBy(F.desc("frequency"), "__p").rowsBetween(W.unboundedPreceding, -1)
-    sizes = sizes.withColumn("__before", F.coalesce(F.sum("__n").over(before), F.lit(0))).drop("__n")
-    inner = W.partitionBy("frequency", "__p").orderBy("word")
-    out = rows.join(sizes, ["frequency", "__p"]).withColumn("pos", F.col("__before") + F.row_number().over(inner))
-    return positioned(out.drop("__before", "__p"), chunk_size, max_chunks)
+    names = [f"__p{k}" for k in DEPTHS]
+    rows = frequencies.withColumns({n: F.substring("word", 1, k) for n, k in zip(names, DEPTHS, strict=True)})
+    sizes, offsets = rows.groupBy("frequency", *names).agg(F.count("*").alias("__n")), None
+    for i in reversed(range(len(names))):
+        above, own = ["frequency", *names[:i]], ["frequency", *names[: i + 1]]
+        within = W.partitionBy(*above).orderBy(names[i]) if i else W.orderBy(F.desc("frequency"), names[0])
+        before = F.coalesce(F.sum("__n").over(within.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+        level = sizes.withColumn(f"__before{i}", before).drop("__n")
+        offsets = level if offsets is None else offsets.join(level, own)
+        sizes = sizes.groupBy(*above).agg(F.sum("__n").alias("__n"))
+    offset = sum((F.col(f"__before{i}") for i in range(len(names))), F.lit(0))
+    inner = W.partitionBy("frequency", *names).orderBy("word")
+    offsets = offsets.select("frequency", *names, offset.alias("__before"))
+    out = rows.join(offsets, ["frequency", *names]).withColumn("pos", F.col("__before") + F.row_number().over(inner))
+    return positioned(out.drop("__before", *names), chunk_size, max_chunks)
 
 
 def positioned(words: DataFrame, chunk_size: int = CHUNK_SIZE, max_chunks: int = 0) -> DataFrame:

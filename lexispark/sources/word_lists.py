@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
@@ -21,12 +22,18 @@ def parse_browser(lines: DataFrame) -> DataFrame:
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
-    """word, frequency, pos of a list's file; pos is the place among the lines that count. The file is one split, as its order is the rank."""
-    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", r"\r?\n")).alias("line", "value"))
-    rows = parse_builder(lines)
-    from pyspark.sql import Window as W
-
-    return rows.select("word", "frequency", F.row_number().over(W.orderBy("line")).cast("long").alias("pos"))
+    """word, frequency, pos of a list's file; pos is the place among the lines that count.
+
+    The file is read in splits. Lines are in order by split and, in a split, as they come; the lines of each split are counted and only
+    these counts are accumulated, so no window holds more than a split. Several files follow each other by name.
+    """
+    raw = spark.read.option("lineSep", "\n").text(path)
+    lines = raw.select(F.regexp_replace("value", r"\r$", "").alias("value"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"))
+    rows = parse_builder(lines.withColumn("line", F.monotonically_increasing_id()))
+    before = F.coalesce(F.sum("n").over(W.orderBy("file", "start").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    splits = rows.groupBy("file", "start").agg(F.count("*").alias("n")).withColumn("before", before).drop("n")
+    own = F.row_number().over(W.partitionBy("file", "start").orderBy("line"))
+    return rows.join(splits, ["file", "start"]).select("word", "frequency", (F.col("before") + own).alias("pos"))
 
 
 def bulk(lines: DataFrame, order: str) -> DataFrame:

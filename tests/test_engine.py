@@ -66,6 +66,29 @@ def test_word_lists(spark, tmp_path):
     assert [tuple(r) for r in word_lists.read(spark, str(tmp_path / "words.txt")).orderBy("pos").collect()] == [("the", 9, 1), ("of", 7, 2)]
 
 
+def test_word_list_in_splits_and_positions_in_hot_groups(spark, tmp_path):
+    """Positions over many splits of a file and over several files; words of one frequency that share their leading characters."""
+    want = []
+    for name in ("a.txt", "b.txt"):
+        lines = [f"{name[0]}{i}\t{9000 - i}" if i % 7 else "no number" for i in range(5000)]
+        (tmp_path / name).write_bytes("\r\n".join(lines).encode())
+        want += [(x.split("\t")[0], int(x.split("\t")[1])) for x in lines if "\t" in x]
+    old = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "4k")
+        spark.conf.set("spark.sql.files.openCostInBytes", "1")
+        got = [tuple(r) for r in word_lists.read(spark, str(tmp_path)).orderBy("pos").collect()]
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    assert got == [(w, f, i + 1) for i, (w, f) in enumerate(want)]
+    words = [(p + str(i) * (i % 3), f) for p in ("", "a", "ab", "abc", "abcdefgh", "é", "\U0001f600x") for i in range(40) for f in (1, 2)]
+    words = sorted({w for w in words if w[0]}, key=lambda w: (-w[1], w[0].encode()))
+    df = spark.createDataFrame(words, "word string, frequency long").repartition(3)
+    assert [(r["word"], r["frequency"]) for r in d.ranked(df).orderBy("pos").collect()] == words
+    assert [r["pos"] for r in d.ranked(df).orderBy("pos").collect()] == list(range(1, len(words) + 1))
+
+
 def test_binary_chunks(spark, tmp_path):
     data = b.encode([("b", 2), ("é", 65535), ("a", 1)])
     assert list(b.decode(data)) == [("a", 1), ("b", 2), ("é", 65535)]
