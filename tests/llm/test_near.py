@@ -141,6 +141,21 @@ def test_near_copies(spark):
     assert sorted(r["doc_id"] for r in kept) == sorted(map(min, want))
 
 
+def test_links_to_a_centre(spark):
+    """Links between two slots as by plain sets; a group whose sets are all linked to its centre leaves nothing to compare."""
+    rng = np.random.default_rng(8)
+    sets = [np.unique(rng.choice(40, rng.integers(1, 30))).astype("u8") for _ in range(120)]
+    like = lambda a, b: len({*a.tolist()} & {*b.tolist()}) / len({*a.tolist()} | {*b.tolist()})
+    got = dict(near_copies.attached(sets[:70], sets[70:], 0.5))
+    for i, x in enumerate(sets[70:]):
+        assert like(x, sets[got[i]]) >= 0.5 if i in got else all(like(x, y) < 0.5 for y in sets[:70])
+    base = np.arange(1000, dtype="u8")
+    rows = [(1, i, 1000, np.sort(np.append(base[base != i], np.uint64(5000 + i))).tobytes(), 10, 0) for i in range(50)]
+    big = spark.createDataFrame(rows, "grp long, node long, n long, hashes binary, slots int, centre long")
+    shown = near_copies.stars(big).collect()
+    assert sorted(r["node"] for r in shown) == list(range(50)) and all(r["star"] for r in shown)
+
+
 def test_near_copies_edges(spark, edges, nothing):
     rows, df = edges
     assert corpus_pipeline.drop_near_copies(spark, df, "").columns == df.columns
