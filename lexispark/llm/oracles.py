@@ -95,4 +95,21 @@ SELECT doc_id, n_words, word_chars, n_symbols, CAST(n_dup_lines AS BIGINT) AS n_
   CAST(round(x.dc, 6) AS DOUBLE) AS class_distance, CAST(round(x.dw, 6) AS DOUBLE) AS word_distance FROM judged
 """
 
-ORACLE_SQL: dict[str, str] = {"op4_quality_rules": _QUALITY, "op5_line_dedup": _LINES, "op7_chat_format": _CHAT}
+#: Windows are compared as whole texts; no anchors, hashes or shards.
+_SUBSTRINGS = rf"""
+WITH split AS MATERIALIZED (SELECT row_number() OVER () AS d, doc_id, regexp_extract_all(coalesce(text, ''), {_WORD}) AS words FROM documents),
+windows AS (SELECT d, words, unnest(range(1, len(words) - 33)) AS i FROM split WHERE len(words) >= 35),
+again AS (SELECT unnest(list({{'d': d, 'i': i}})) AS x FROM windows GROUP BY array_to_string(words[i : i + 34], ' ') HAVING count(*) > 1),
+covered AS (SELECT DISTINCT x.d AS d, unnest(range(x.i, x.i + 35)) AS i FROM again),
+each AS (SELECT d, unnest(words) AS word, unnest(range(1, len(words) + 1)) AS i FROM split),
+kept AS (SELECT d, count(*) AS n, string_agg(word, ' ' ORDER BY i) AS text FROM each ANTI JOIN covered USING (d, i) GROUP BY d)
+SELECT doc_id, len(words) AS n_words, len(words) - coalesce(n, 0) AS n_removed, sha256(coalesce(text, '')) AS kept_sha256
+FROM split LEFT JOIN kept USING (d)
+"""
+
+ORACLE_SQL: dict[str, str] = {
+    "op4_quality_rules": _QUALITY,
+    "op5_line_dedup": _LINES,
+    "op7_chat_format": _CHAT,
+    "op12_substring_dedup": _SUBSTRINGS,
+}
