@@ -95,6 +95,29 @@ SELECT doc_id, n_words, word_chars, n_symbols, CAST(n_dup_lines AS BIGINT) AS n_
   CAST(round(x.dc, 6) AS DOUBLE) AS class_distance, CAST(round(x.dw, 6) AS DOUBLE) AS word_distance FROM judged
 """
 
+_TERMS = r"""regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"""
+
+#: Every document that has one of an item's terms is scored.
+_RANKED = rf"""
+WITH docs AS MATERIALIZED (
+  SELECT row_number() OVER () AS d, doc_id, {_TERMS} AS terms
+  FROM documents),
+items AS MATERIALIZED (
+  SELECT row_number() OVER () AS q, item_id, unnest({_TERMS}) AS term
+  FROM benchmark),
+wanted AS (SELECT q, item_id, term, count(*) AS c FROM items GROUP BY ALL),
+totals AS (SELECT count(*) AS docs, CAST(coalesce(sum(len(terms)), 0) AS BIGINT) AS every FROM docs WHERE len(terms) > 0),
+postings AS MATERIALIZED (
+  SELECT d, term, count(*) AS tf FROM (SELECT d, unnest(terms) AS term FROM docs) SEMI JOIN wanted USING (term) GROUP BY ALL),
+weights AS (SELECT term, CAST(floor(1000 * ln((2 * docs + 2) / (2 * count(*) + 1))) AS BIGINT) AS w FROM postings, totals GROUP BY term, docs),
+impacts AS MATERIALIZED (
+  SELECT d, doc_id, term, w * ((1000000000 * tf) // (1000 * tf + 12 * (75 + 25 * len(terms) * docs // every))) AS impact
+  FROM postings JOIN weights USING (term) JOIN docs USING (d), totals),
+scores AS (SELECT q, item_id, d, doc_id, CAST(sum(c * impact) AS BIGINT) AS score FROM wanted JOIN impacts USING (term) GROUP BY q, item_id, d, doc_id)
+SELECT item_id, CAST(row_number() OVER (PARTITION BY q ORDER BY score DESC, doc_id NULLS LAST) AS INTEGER) AS rank, doc_id, score
+FROM scores WHERE score > 0 QUALIFY row_number() OVER (PARTITION BY q ORDER BY score DESC, doc_id NULLS LAST) <= 20
+"""
+
 #: Windows are compared as whole texts; no anchors, hashes or shards.
 _SUBSTRINGS = rf"""
 WITH split AS MATERIALIZED (SELECT row_number() OVER () AS d, doc_id, regexp_extract_all(coalesce(text, ''), {_WORD}) AS words FROM documents),
@@ -111,5 +134,6 @@ ORACLE_SQL: dict[str, str] = {
     "op4_quality_rules": _QUALITY,
     "op5_line_dedup": _LINES,
     "op7_chat_format": _CHAT,
+    "op11_ranked_search": _RANKED,
     "op12_substring_dedup": _SUBSTRINGS,
 }

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, fingerprints, line_dedup, mixing, quality, simhash_dedup, substring_dedup, token_counts, token_store, toxicity
+from . import bpe, chat, fingerprints, line_dedup, mixing, quality, ranked_search, simhash_dedup, substring_dedup, token_alignment, token_counts, token_store, toxicity
 from .common import documents, held_out
 from .oracles import ORACLE_SQL as ORACLE_SQL
 
@@ -74,11 +74,24 @@ def op10_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.read(token_store.write(documents(spark, sf_dir), folder), folder)
 
 
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    return ranked_search.search(ranked_search.index(documents(spark, sf_dir)), items)
+
+
 def op12_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = substring_dedup.repeats(documents(spark, sf_dir))
     return found.select("doc_id", "n_words", "n_removed", F.sha2(F.encode("kept", "UTF-8"), 256).alias("kept_sha256"))
 
 
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_alignment.compare(documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_toxicity, op2_byte_bpe, op3_simhash_dedup, op4_quality_rules, op5_line_dedup, op6_token_counts, op7_chat_format, op8_mixing, op9_fingerprints, op10_token_store, op12_substring_dedup)
-}
+    f.__name__: f
+    for f in (
+        op1_toxicity, op2_byte_bpe, op3_simhash_dedup, op4_quality_rules, op5_line_dedup, op6_token_counts, op7_chat_format, op8_mixing, op9_fingerprints, op10_token_store,
+        op11_ranked_search, op12_substring_dedup, op13_token_alignment,
+    )
+}

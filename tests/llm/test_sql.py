@@ -11,7 +11,7 @@ from lexispark.llm import queries
 @pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
 def test_sql_twin(name, spark, sf_dir):
     con = duckdb.connect()
-    for t in ("documents", "conversations"):
+    for t in ("documents", "conversations", "benchmark"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf_dir}/{t}.parquet'")
     want = con.execute(queries.ORACLE_SQL[name])
     columns = [x[0] for x in want.description]
@@ -27,5 +27,6 @@ def test_sql_twin(name, spark, sf_dir):
 def test_sql_twin_of_an_empty_table(name):
     con = duckdb.connect()
     con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR, lang VARCHAR)")
+    con.execute("CREATE TABLE benchmark (item_id BIGINT, text VARCHAR)")
     con.execute("CREATE TABLE conversations (conv_id BIGINT, turn BIGINT, role VARCHAR, text VARCHAR)")
     assert len(con.execute(queries.ORACLE_SQL[name]).fetchall()) == (name == "op7_chat_format")
