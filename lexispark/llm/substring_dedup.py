@@ -6,9 +6,8 @@ Consecutive windows with one anchor are a segment, known by h (the anchor's hash
 anchor occurs once in the corpus cannot repeat and stay where they are. Of the others the distinct ones, with the number of their
 occurrences, are dealt to shards by h. A shard builds the FM-index of its segments (suffix order by prefix tripling, the
 Burrows-Wheeler transform as a wavelet matrix of packed bits with counts) and streams the segments through it: backward search from
-each window's last word gives the matching statistic of that place, the longest match that ends there and stands at two places or more,
-up to `window` words. Statistics that reach `window` are reported as a bit mask of the segment's windows, and each document that has the
-segment takes them from there.
+a word gives the matching statistic of that place, the longest match that ends there and stands at two places or more. Statistics that
+reach `window` are reported as a bit mask of the segment's windows, and each document that has the segment takes them from there.
 
 What a shard holds is bounded: an anchor with more than `MOST` distinct segments is taken apart into its windows, which are counted by
 their hashes. Which anchors occur twice, which segments are sent and which anchors are taken apart travels as filters of at most
@@ -21,6 +20,7 @@ one anchor are told apart by a 64-bit hash.
 
 from __future__ import annotations
 
+from functools import lru_cache
 from itertools import compress
 
 import numpy as np
@@ -46,15 +46,27 @@ def _mix(x: np.ndarray) -> np.ndarray:
 _BYTE = _mix((np.arange(256, dtype="u8") + np.uint64(1)) * _M1)
 
 
+_Q = np.uint64(0xD6E8FEB86659FD93)
+_Q_INVERSE = np.uint64(pow(int(_Q), -1, 2**64))
+
+
+@lru_cache(4)
+def _power_table(base: np.uint64, n: int) -> np.ndarray:
+    out = np.full(n, base, "u8")
+    out[0] = 1
+    return np.cumprod(out, dtype="u8")
+
+
 def _powers(base: np.uint64, n: int) -> np.ndarray:
     """base ** 0, 1, ... n - 1 modulo 2 ** 64."""
-    out = np.full(max(n, 1), base, "u8")
-    out[0] = 1
-    return np.cumprod(out, dtype="u8")[:n]
+    return _power_table(base, 1 << max(20, (n - 1).bit_length()))[:n]
 
 
-_Q = np.uint64(0xD6E8FEB86659FD93)
-_Q_INVERSE = np.uint64(pow(int(_Q), -1, 2**64))
+def _range_hashes(values: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Polynomial hashes of values[begin:end]."""
+    sums = np.zeros(len(values) + 1, "u8")
+    np.cumsum(values * _powers(_Q, len(values)), out=sums[1:])
+    return (sums[ends] - sums[begins]) * _powers(_Q_INVERSE, len(values) + 1)[begins]
 
 
 def words_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -71,26 +83,13 @@ def words_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nd
     return data, begins, ends, np.searchsorted(at, begins, "right") - 1
 
 
-def word_hashes(data: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    if not len(begins):
-        return np.zeros(0, "u8")
-    first = np.zeros(len(data), "i8")
-    first[begins] = begins
-    place = np.arange(len(data)) - np.maximum.accumulate(first)
-    value = _BYTE[data]
-    value[_SPACE[data]] = 0
-    longest = int((ends - begins).max())
-    value *= _powers(_M1, longest)[np.minimum(place, longest - 1)]
-    return _mix(np.add.reduceat(value, begins))
-
-
 class Segments:
     """Segments of some texts: doc (text number), start (first word, counted over all the texts), windows, h, g."""
 
     def __init__(self, texts: pa.Array, window: int):
         self.data, self.begins, self.ends, self.doc_of = words_of(texts)
         n, gram = len(self.begins), gram_of(window)
-        w = word_hashes(self.data, self.begins, self.ends)
+        w = _mix(_range_hashes(_BYTE[self.data], self.begins, self.ends))
         none = np.zeros(0, "i8")
         self.doc = self.start = self.windows = none
         self.h = self.g = np.zeros(0, "u8")
@@ -113,15 +112,17 @@ class Segments:
         last = whole.copy()
         last[:-1] &= new[1:] | ~whole[1:]
         self.windows = np.flatnonzero(last) + 1 - self.start
-        self.doc, self.h = self.doc_of[self.start], grams[place[self.start]]
-        self._sums = np.concatenate([np.zeros(1, "u8"), np.cumsum(w * _powers(_Q, n), dtype="u8")])
-        self._back = _powers(_Q_INVERSE, n)
-        self.window = window
+        # The least of many hashes is no even one: it is mixed once more.
+        self.doc, self.h, self._w, self.window = self.doc_of[self.start], _mix(grams[place[self.start]] * _M1), w, window
         self.g = self.hash_of(self.start, self.start + self.windows + window - 1)
 
     def hash_of(self, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
         """Hash of the words from begin to end."""
-        return _mix((self._sums[end] - self._sums[begin]) * self._back[begin] + (end - begin).astype("u8") * _M1)
+        return _mix(_range_hashes(self._w, begin, end) + (end - begin).astype("u8") * _M1)
+
+    def own(self) -> np.ndarray:
+        """A hash of doc, h and g."""
+        return _mix(self.h ^ (self.g * _M1) ^ (self.doc.astype("u8") * _M2))
 
     def words(self, k: int) -> bytes:
         """A segment's words, joined by one space."""
@@ -197,13 +198,13 @@ class FMIndex:
         self.levels = max(1, int(symbols.max()).bit_length())
         self.before = np.concatenate([[0], np.cumsum(np.bincount(symbols, minlength=1 << self.levels))])
         self.weight = np.concatenate([[0], np.cumsum(weights[order])])
-        text, self.bits, self.counts, self.zeros = symbols[order - 1], [], [], []
+        text, self.bits, self.zeros = symbols[order - 1], [], []
         for level in reversed(range(self.levels)):
             one = (text >> level & 1).astype(bool)
-            packed = np.zeros(n // 64 + 1, "u8")
+            packed = np.zeros(n // 32 + 1, "u4")
             packed.view("u1")[: (n + 7) // 8] = np.packbits(one, bitorder="little")
-            self.bits.append(packed)
-            self.counts.append(np.concatenate([[0], np.cumsum(np.bitwise_count(packed[:-1]), dtype="i8")]))
+            counts = np.cumsum(np.bitwise_count(packed), dtype="u8") - np.bitwise_count(packed)
+            self.bits.append(counts << np.uint64(32) | packed)
             self.zeros.append(n - int(one.sum()))
             text = np.concatenate([text[~one], text[one]])
         every = np.arange(1 << self.levels)
@@ -211,55 +212,71 @@ class FMIndex:
 
     def _walk(self, symbol: np.ndarray, at: np.ndarray) -> np.ndarray:
         for k in range(self.levels):
-            word = at >> 6
-            ones = self.counts[k][word] + np.bitwise_count(self.bits[k][word] & ((np.uint64(1) << (at & 63).astype("u8")) - np.uint64(1)))
-            at = np.where(symbol >> (self.levels - 1 - k) & 1, ones + self.zeros[k], at - ones)
+            held = self.bits[k].take(at >> 5, mode="clip")
+            ones = (held >> np.uint64(32)).view("i8") + np.bitwise_count(held & _BELOW.take(at & 31))
+            at = np.where(symbol & 1 << (self.levels - 1 - k), ones + self.zeros[k], at - ones)
         return at
 
-    def statistics(self, symbols: np.ndarray, ends: np.ndarray, most: int, least: int = 2) -> np.ndarray:
-        """For each end (the place of a last symbol) the length of the longest match that ends there and weighs `least`, up to `most`."""
+    def statistics(self, symbols: np.ndarray, ends: np.ndarray, most: np.ndarray, least: int = 2) -> np.ndarray:
+        """For each end (the place of a last symbol) the length of the longest match that ends there and weighs `least`, up to its `most`."""
         out, live, ends = np.zeros(len(ends), "i8"), np.arange(len(ends)), ends.copy()
         c = symbols[ends]
-        low, high = self.before[c], self.before[c + 1]
-        for length in range(1, most + 1):
-            kept = self.weight[high] - self.weight[low] >= least
-            live, low, high, ends = live[kept], low[kept], high[kept], ends[kept]
+        low, high, length = self.before[c], self.before[c + 1], 0
+        while len(live):
+            kept = np.flatnonzero(self.weight[high] - self.weight[low] >= least)
+            live, length = live[kept], length + 1
             out[live] = length
-            if length == most or not len(live):
-                break
-            ends = ends - 1
+            kept = kept[more := most[live] > length]
+            live, low, high, ends = live[more], low[kept], high[kept], ends[kept] - 1
             c = symbols[ends]
             both = self._walk(np.concatenate([c, c]), np.concatenate([low, high]))
             low, high = both[: len(c)] + self.base[c], both[len(c) :] + self.base[c]
         return out
 
 
+#: The lowest k of 32 bits.
+_BELOW = (np.uint64(1) << np.arange(32, dtype="u8")) - np.uint64(1)
+
+
 def masks_of(texts: list[bytes], counts: np.ndarray, window: int) -> np.ndarray:
     """For each segment (words joined by one space) and its number of occurrences: a mask of its windows that stand at two places or more."""
     lengths = np.array([t.count(b" ") + 1 for t in texts], "i8")
     symbols = pa.array(b" ".join(texts).split(b" "), pa.binary()).dictionary_encode().indices.to_numpy().astype("i8") + 1
     symbols = np.insert(symbols, np.cumsum(lengths), 0)
-    index = FMIndex(symbols, np.repeat(np.minimum(counts, 2), lengths + 1), window)
+    index = FMIndex(symbols, np.repeat(np.minimum(counts, 2), lengths + 1), int(lengths.max()))
     begins = np.concatenate([[0], np.cumsum(lengths + 1)[:-1]])
-    windows = lengths - window + 1
-    segment = np.repeat(np.arange(len(texts)), windows)
-    place = np.arange(len(segment)) - np.repeat(np.cumsum(windows) - windows, windows)
-    found = index.statistics(symbols, begins[segment] + place + window - 1, window) >= window
-    out = np.zeros(len(texts), "i8")
-    np.bitwise_or.at(out, segment[found], np.left_shift(np.int64(1), place[found]))
+    # The longest match at a segment's end has all windows within it. Those before it are looked at from the left, by longer and longer runs.
+    match = index.statistics(symbols, begins + lengths - 1, lengths)
+    left = np.where(match >= window, lengths - match, lengths - window + 1)
+    out = (np.int64(1) << (lengths - window + 1)) - (np.int64(1) << left)
+    live, place, run = np.flatnonzero(left), np.zeros(len(texts), "i8"), np.ones(len(texts), "i8")
+    while len(live):
+        n = np.minimum(run[live], left[live] - place[live])
+        match = index.statistics(symbols, begins[live] + place[live] + window + n - 2, window + n - 1)
+        whole = match == window + n - 1
+        k = live[whole]
+        out[k] |= ((np.int64(1) << n[whole]) - 1) << place[k]
+        place[k], run[k] = place[k] + n[whole], 2 * run[k]
+        # What stopped a single window's match is in the windows up to there, too.
+        one = ~whole & (n == 1)
+        place[live[one]] += window - match[one]
+        run[live[~whole]] = np.maximum(n[~whole] // 2, 1)
+        live = live[place[live] < left[live]]
     return out
 
 
 def _rows(docs: DataFrame, window: int, twice: Filter) -> DataFrame:
-    """key, h, g, windows of each segment whose anchor may occur twice."""
+    """key, h, g, windows, n: the segments of each row whose anchors may occur twice, and how often it has each."""
 
     def run(batches):
         for b in batches:
             s = Segments(b.column("text"), window)
             k = np.flatnonzero(twice.has(s.h))
-            yield pa.RecordBatch.from_arrays([b.column("key").take(pa.array(s.doc[k])), longs(s.h[k]), longs(s.g[k]), pa.array(s.windows[k])], names=["key", "h", "g", "windows"])
+            _, first, n = np.unique(s.own()[k], return_index=True, return_counts=True)
+            k = k[first]
+            yield pa.RecordBatch.from_arrays([b.column("key").take(pa.array(s.doc[k])), longs(s.h[k]), longs(s.g[k]), pa.array(s.windows[k]), pa.array(n)], names=["key", "h", "g", "windows", "n"])
 
-    return map_arrow(docs, run, "key long, h long, g long, windows long")
+    return map_arrow(docs, run, "key long, h long, g long, windows long, n long")
 
 
 def _searched(docs: DataFrame, segments: DataFrame, sent: Filter, apart: Filter, window: int, words: int, shard_words: int) -> DataFrame:
@@ -269,6 +286,7 @@ def _searched(docs: DataFrame, segments: DataFrame, sent: Filter, apart: Filter,
         for b in batches:
             s, key = Segments(b.column("text"), window), b.column("key").to_numpy().view("u8")
             k = np.flatnonzero(sent.has(s.h ^ s.g ^ key[s.doc]) & ~apart.has(s.h))
+            k = k[np.unique(s.own()[k], return_index=True)[1]]
             yield pa.RecordBatch.from_arrays([longs(s.h[k]), longs(s.g[k]), pa.array([s.words(i) for i in k.tolist()], pa.binary()), pa.nulls(len(k), pa.int64())], names=["h", "g", "words", "n"])
 
     def search(batches):
@@ -342,11 +360,12 @@ def repeats(docs: DataFrame, window: int = WINDOW, most: int = MOST, shard_words
 
     def anchors(batches):
         for b in batches:
-            yield pa.RecordBatch.from_arrays([longs(Segments(b.column("text"), window).h)], names=["h"])
+            h, n = np.unique(Segments(b.column("text"), window).h, return_counts=True)
+            yield pa.RecordBatch.from_arrays([longs(h), pa.array(n)], names=["h", "n"])
 
-    twice = cut(map_arrow(docs.select("text"), anchors, "h long").groupBy("h").agg(F.count("*").alias("n")).filter("n > 1"))
-    rows = _rows(texts, window, Filter(twice, "h", twice.count()))
-    segments = cut(rows.groupBy("h", "g").agg(F.count("*").alias("n"), F.min("key").alias("key"), F.first("windows").alias("windows")))
+    twice = cut(map_arrow(docs.select("text"), anchors, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).filter("n > 1"))
+    rows = cut(_rows(texts, window, Filter(twice, "h", twice.count())))
+    segments = cut(rows.groupBy("h", "g").agg(F.sum("n").alias("n"), F.count("*").alias("rows"), F.min("key").alias("key"), F.first("windows").alias("windows")))
     distinct = cut(segments.groupBy("h").agg(F.count("*").alias("m"), F.max("n").alias("n")).filter("m > 1 or n > 1"))
     asked = cut(join_spread(segments, distinct.select("h", "m"), ["h"], "m"))
     size = asked.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.col("windows") + window), F.lit(0)).alias("words")).first()
@@ -357,8 +376,8 @@ def repeats(docs: DataFrame, window: int = WINDOW, most: int = MOST, shard_words
     masks = _searched(texts, asked.select("h", "g", "n"), sent, apart, window, size["words"], shard_words)
     if n_crowded:
         masks = masks.unionByName(_counted(texts, asked, sent, apart, window))
-    masks = cut(masks.groupBy("h", "g").agg(F.bit_or("mask").alias("mask")).join(asked.select("h", "g", "n"), ["h", "g"]))
-    each = join_spread(rows.select("key", "h", "g"), masks, ["h", "g"], "n")
+    masks = cut(masks.groupBy("h", "g").agg(F.bit_or("mask").alias("mask")).join(asked.select("h", "g", "rows"), ["h", "g"]))
+    each = join_spread(rows.select("key", "h", "g"), masks, ["h", "g"], "rows")
     marks = each.groupBy("key").agg(F.collect_set(F.struct("h", "g", "mask")).alias("marks"))
 
     def finish(batches):
@@ -375,10 +394,9 @@ def _kept(b: pa.RecordBatch, window: int) -> pa.RecordBatch:
     flat, owner = marks.flatten(), pc.list_parent_indices(marks).to_numpy().astype("u8")
     if len(flat) and len(s.h):
         h, g, mask = (flat.field(i).to_numpy() for i in range(3))
-        joint = lambda row, h, g: _mix(h ^ (g * _M1) ^ (row.astype("u8") * _M2))
-        names = joint(owner, h.view("u8"), g.view("u8"))
+        names = _mix(h.view("u8") ^ (g.view("u8") * _M1) ^ (owner * _M2))
         order = np.argsort(names)
-        at = np.minimum(np.searchsorted(names[order], joint(s.doc, s.h, s.g)), len(order) - 1)
+        at = np.minimum(np.searchsorted(names[order], s.own()), len(order) - 1)
         k = order[at]
         own = np.flatnonzero((h[k].view("u8") == s.h) & (g[k].view("u8") == s.g) & (owner[k] == s.doc.astype("u8")))
         bit = np.arange(int(s.windows.max()))

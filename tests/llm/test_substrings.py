@@ -73,7 +73,7 @@ def test_index_counts_patterns():
     symbols = np.concatenate([np.append(x, 0) for x in sequences])
     index = s.FMIndex(symbols, np.concatenate([np.full(len(x) + 1, w) for x, w in zip(sequences, weights, strict=True)]), 8)
     ends = np.flatnonzero(symbols)
-    got = index.statistics(symbols, ends, 8)
+    got = index.statistics(symbols, ends, np.full(len(ends), 8))
     texts = ["".join(map(str, x)) for x in sequences]
     for e, n in zip(ends.tolist(), got.tolist(), strict=True):
         begin = max(np.flatnonzero(symbols[:e] == 0), default=-1) + 1
