@@ -19,6 +19,7 @@ text are not looked at; null ids stay null; an empty table has no rows.
 from __future__ import annotations
 
 import hashlib
+import json
 import os
 import re
 import uuid
@@ -31,9 +32,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut, map_arrow, shared_folder
+from .token_counts import _rules
 
 #: Pairs that go to every task; pairs, pieces and their code points that a task holds.
-KNOWN, PAIRS_HELD, HELD, HELD_CHARS = 1_000_000, 1_000_000, 150_000, 8_000_000
+KNOWN, PAIRS_HELD, HELD, HELD_CHARS = 1_000_000, 1_000_000, 350_000, 8_000_000
 _EDGE = re.compile(r"(?<=\S)(?=[ \n])")
 #: Signs that some tokenizers take for white space and others don't: a piece that ends with one of them does not end for sure.
 _UNSURE = frozenset(map(chr, (0x09, 0x0B, 0x0C, 0x0D, *range(0x1C, 0x20), 0x85, 0xA0, 0x1680, 0x180E, *range(0x2000, 0x200C), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000, 0xFEFF)))
@@ -54,12 +56,16 @@ def byte_letters() -> dict[str, int]:
 
 
 class Transducer:
-    """Groups of two token sequences with equal bytes. bytes_a, bytes_b: the bytes of each id."""
+    """Groups of two token sequences with equal bytes. bytes_a, bytes_b: the bytes of each id. States are numbered; the end of a group is 0."""
 
     def __init__(self, bytes_a: list[bytes], bytes_b: list[bytes]):
-        self.bytes, self.memo = (bytes_a, bytes_b), {}
+        self.bytes = bytes_a, bytes_b
+        self.clear()
+
+    def clear(self) -> None:
+        self.states, self.number, self.next, self.leads, self.known = [END], {END: 0}, [{}], [False], 0
 
-    def step(self, state: tuple[int, bytes], token: int) -> tuple[int, bytes] | None:
+    def after(self, state: tuple[int, bytes], token: int) -> tuple[int, bytes] | None:
         """The state after the next token of the side behind, or None where the bytes differ. side: 1 if A leads, -1 if B does, 0 at the end of a group."""
         side, residual = state
         raw = self.bytes[side == 1][token]
@@ -69,30 +75,46 @@ class Transducer:
             return (side, residual[len(raw) :]) if len(raw) < len(residual) else END
         return (-side, raw[len(residual) :]) if raw.startswith(residual) else None
 
-    def groups(self, a: list[int], b: list[int]) -> list[tuple[list[int], list[int]]] | None:
-        """The ids of both sides in each group, or None where the bytes differ."""
-        out, state, i, j, memo = [], END, 0, 0, self.memo
-        begin_a = begin_b = 0
-        while i < len(a) or j < len(b):
-            if state[0] == 1:
-                if j == len(b):
-                    return None
-                token, j = b[j], j + 1
+    def step(self, state: int, token: int) -> int:
+        """`after` by the states' numbers, kept; -1 where the bytes differ."""
+        found = self.after(self.states[state], token)
+        if found is None:
+            return -1
+        if found not in self.number:
+            self.number[found] = len(self.states)
+            self.states.append(found)
+            self.next.append({})
+            self.leads.append(found[0] == 1)
+        self.next[state][token] = self.number[found]
+        self.known += 1
+        return self.number[found]
+
+    def cuts(self, a: list[int], b: list[int]) -> tuple[list[int], list[int]] | None:
+        """How many tokens of either side are read where each group ends, or None where the bytes differ."""
+        if self.known > HELD:
+            self.clear()
+        if not a and not b:
+            return [], []
+        # A token that no side has ends each side: no transition leads on from there.
+        n, m, a, b = len(a), len(b), [*a, -1], [*b, -1]
+        cut_a, cut_b, state, i, j, following, leads = [], [], 0, 0, 0, self.next, self.leads
+        while True:
+            if leads[state]:
+                token = b[j]
+                j += 1
             else:
-                if i == len(a):
+                token = a[i]
+                i += 1
+            known = following[state].get(token)
+            if known is None:
+                if token < 0 or (known := self.step(state, token)) < 0:
                     return None
-                token, i = a[i], i + 1
-            if (state, token) not in memo:
-                if len(memo) > HELD:
-                    memo.clear()
-                memo[state, token] = self.step(state, token)
-            state = memo[state, token]
-            if state is None:
-                return None
-            if state[0] == 0 and j > begin_b:
-                out.append((a[begin_a:i], b[begin_b:j]))
-                begin_a, begin_b = i, j
-        return out if state == END and (begin_a, begin_b) == (len(a), len(b)) else None
+            state = known
+            if not state and j > (cut_b[-1] if cut_b else 0):
+                cut_a.append(i)
+                cut_b.append(j)
+                if i == n and j == m:
+                    return cut_a, cut_b
 
 
 class Aligner:
@@ -113,28 +135,27 @@ class Aligner:
         self.n_b = self.b.vocab_size()
         pieces = [self.b.id_to_piece(i) for i in range(self.n_b)]
         raw_b = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
-        self.transducer = Transducer(raw_a, raw_b)
+        self.transducer, self.size_a = Transducer(raw_a, raw_b), np.array([len(x) for x in raw_a])
         # A vocabulary with a space inside a piece, or one that knows newlines, could join what stands on both sides of an edge.
         self.pieces_join = any("▁" in p.lstrip("▁") or "\n" in p for i, p in enumerate(pieces) if not self.b.is_byte(i))
+        self.quick = quick_encoder(path_a, raw_a)
+        # How ids are written: the first of a piece, of a group, and further ones; then the first and further ones of the other side.
+        n = len(raw_a), self.n_b
+        self.written = [x + str(i).encode() for x, k in ((b"\n", 0), (b";", 0), (b",", 0), (b"|", 1), (b",", 1)) for i in range(n[k])]
+        self.begin = [0, n[0], 2 * n[0], 3 * n[0], 3 * n[0] + n[1]]
         self.clear()
 
     def clear(self) -> None:
         self.number: dict[str, int] = {}
         self.unsure: set[int] = set()
-        self.chars, self.said, self.codes, self.links, self._new = 0, [], [], [], []
-        self._sizes = np.zeros((0, 5), "i8")
+        self.chars, self.said, self._new = 0, [], []
+        self._flat = np.zeros((0, 5), "i8"), np.zeros(0, "i8"), np.zeros(0, "i8"), np.zeros(0, "i8")
 
-    def sizes(self) -> np.ndarray:
-        """Of each piece: tokens of either side, groups, links, and 1 where the bytes differ."""
+    def held(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Of each piece tokens of either side, groups, links, and 1 where the bytes differ; how many pairs it has; all pieces' pairs and their links."""
         if self._new:
-            self._sizes, self._new = np.concatenate([self._sizes, np.array(self._new, "i8")]), []
-        return self._sizes
-
-    def numbers_of(self, text: str) -> list[int]:
-        if not text:
-            return []
-        found = self.numbers(self.split(text))
-        return found if self.unsure.isdisjoint(found) else self.numbers(self.split(text, False))
+            self._flat, self._new = tuple(np.concatenate(x) for x in zip(self._flat, *self._new, strict=True)), []
+        return self._flat
 
     def split(self, text: str, plain: bool = True) -> list[str]:
         """The pieces of a space and the text; a piece that a space begins is given without it. plain: its words' ends are sure."""
@@ -150,46 +171,107 @@ class Aligner:
                 parts.append(p)
         return [p[1:] if p[0] == " " and p[1:2] not in ("", " ", "\n") else p if p[0] == "\n" else "\x00" + p for p in parts]
 
-    def numbers(self, pieces: list[str]) -> list[int]:
+    def numbers(self, texts: list[str | None]) -> list[list[int]]:
+        """The numbers of each text's pieces; those that are not known yet are encoded and aligned."""
+        split = [self.split(t) if t else [] for t in texts]
         known = self.number
-        new = list(dict.fromkeys(p for p in pieces if p not in known))
-        if new:
-            self._add(new)
-        return [known[p] for p in pieces]
+        self._add(list(dict.fromkeys([p for x in split for p in x if p not in known])))
+        out = [list(map(known.__getitem__, x)) for x in split]
+        for k, x in enumerate(out):
+            if self.unsure and not self.unsure.isdisjoint(x):
+                split = self.split(texts[k], False)
+                self._add([p for p in dict.fromkeys(split) if p not in known])
+                out[k] = list(map(known.__getitem__, split))
+        return out
 
     def _add(self, new: list[str]) -> None:
-        # The second tokenizer puts a space before what it gets; behind a newline, which no piece holds, it encodes what stands there.
         whole = [p[1:] if p[0] == "\x00" and p[1:2] in (" ", "\n") else p if p[0] == "\n" else " " + p for p in new]
-        a = [e.ids for e in self.a.encode_batch_fast(whole, add_special_tokens=False)]
-        plain = [x[0] == " " and x[1:2] not in ("", " ", "\n") or self.pieces_join for x in whole]
-        b = self.b.encode([x[1:] if y else "\n" + x for x, y in zip(whole, plain, strict=True)], num_threads=1)
-        skip = 0 if self.pieces_join else len(self.b.encode("\n"))
-        for p, x, y, own in zip(new, a, b, plain, strict=True):
-            self.number[p] = len(self.said)
-            self.chars += len(p)
+        # Plain pieces are encoded in one go: white space begins them, their end is sure, and all engines agree on their letters.
+        plain = [self.quick is not None and x[-1] not in _UNSURE and x[-1] not in " \n" and max(x) < "\u0530" and not self.pieces_join for x in whole]
+        some = [p for p, y in zip(new, plain, strict=True) if y]
+        texts = [x for x, y in zip(whole, plain, strict=True) if y]
+        first = next((k for k, x in enumerate(texts) if x[0] == " "), 0)
+        if texts:
+            some.insert(0, some.pop(first))
+            texts.insert(0, texts.pop(first))
+        if not texts or texts[0][0] != " " or not self._block(some, texts, self.quick("".join(texts)), self.b.encode("".join(texts)[1:])):
+            plain = [False] * len(new)
+        for p, x in ((p, x) for p, x, y in zip(new, whole, plain, strict=True) if not y):
+            # The second tokenizer puts a space before what it gets; behind a newline, which no piece holds, it encodes what stands there.
+            own = self.pieces_join or x[0] == " " and x[1:2] not in ("", " ", "\n")
+            b = self.b.encode(x[1:]) if own else self.b.encode("\n" + x)[len(self.b.encode("\n")) :]
+            self._block([p], [x], self.a.encode(x, add_special_tokens=False).ids, b)
+
+    def _block(self, names: list[str], texts: list[str], a: list[int], b: list[int]) -> bool:
+        """Adds pieces whose ids stand one after the other in a and b; False, and none added, where the ids do not fall to the pieces."""
+        cuts = self.transducer.cuts(a, b)
+        if cuts is None and len(names) > 1:
+            return False
+        n, ids_a, ids_b = len(names), np.array(a, "i8"), np.array(b, "i8")
+        end_a, end_b = (np.array(x, "i8") for x in cuts or ([], []))
+        at = np.concatenate([[0], np.cumsum(self.size_a[ids_a])])[end_a]
+        ends = np.cumsum([len(t.encode()) for t in texts])
+        piece = np.searchsorted(ends, at)
+        if cuts is not None and not np.array_equal(ends, at[np.flatnonzero(np.append(piece[1:] != piece[:-1], True))]):
+            return False
+        n_a, n_b = np.diff(end_a, prepend=0), np.diff(end_b, prepend=0)
+        groups = np.bincount(piece, minlength=n)
+        sizes = [np.bincount(piece, x, n).astype("i8") for x in (n_a, n_b)] + [groups, np.bincount(piece, n_a * n_b, n).astype("i8"), np.full(n, cuts is None)]
+        for k, p in enumerate(names):
+            self.number[p] = len(self.said) + k
             if p[-1] in _UNSURE:
-                self.unsure.add(len(self.said))
-            self._align(x, y if own else y[skip:])
-
-    def _align(self, a: list[int], b: list[int]) -> None:
-        groups = self.transducer.groups(a, b)
-        links: dict[int, int] = {}
-        n_links = 0
-        for x, y in groups or ():
-            n_links += len(x) * len(y)
-            if len(x) == 1 or len(y) == 1:
-                for i in x:
-                    for j in y:
-                        code = i * self.n_b + j
-                        links[code] = links.get(code, 0) + 1
-                continue
-            (ids, n), (others, m) = np.unique(x, return_counts=True), np.unique(y, return_counts=True)
-            for code, k in zip((ids[:, None] * self.n_b + others).ravel().tolist(), (n[:, None] * m).ravel().tolist(), strict=True):
-                links[code] = links.get(code, 0) + k
-        self.said.append(";".join([",".join(map(str, x)) + "|" + ",".join(map(str, y)) for x, y in groups or ()]).encode())
-        self._new.append((len(a), len(b), len(groups or ()), n_links, groups is None))
-        self.codes.append(np.fromiter(links, "i8", len(links)))
-        self.links.append(np.fromiter(links.values(), "i8", len(links)))
+                self.unsure.add(len(self.said) + k)
+        self.chars += sum(map(len, names))
+        self.said += self._said(ids_a, ids_b, n_a, n_b, piece) if cuts is not None else [b""] * n
+        own, code, links = self._pairs(ids_a, ids_b, n_a, n_b, piece)
+        self._new.append((np.stack(sizes, 1).astype("i8"), np.bincount(own, minlength=n), code, links))
+        return True
+
+    def _said(self, a, b, n_a, n_b, piece) -> list[bytes]:
+        """The groups of each piece as text."""
+        first = np.append(True, piece[1:] != piece[:-1])
+        group = np.concatenate([np.repeat(np.arange(len(n_a)), n_a), np.repeat(np.arange(len(n_b)), n_b)])
+        of_a, of_b = np.full(len(a), self.begin[2]), np.full(len(b), self.begin[4])
+        at = np.cumsum(n_a) - n_a
+        of_a[at] = np.where(first, self.begin[0], self.begin[1])
+        of_b[np.cumsum(n_b) - n_b] = self.begin[3]
+        order = np.argsort(2 * group + np.repeat([0, 1], [len(a), len(b)]), kind="stable")
+        written = np.concatenate([a + of_a, b + of_b])[order]
+        return b"".join(map(self.written.__getitem__, written.tolist()))[1:].split(b"\n")
+
+    def _pairs(self, a, b, n_a, n_b, piece) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Piece, code and links of the different pairs of each piece, in the pieces' order."""
+        begin_a, begin_b, n = np.cumsum(n_a) - n_a, np.cumsum(n_b) - n_b, n_a * n_b
+        small = np.flatnonzero(n <= 4096)
+        size = n[small]
+        place = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+        g = np.repeat(small, size)
+        keys, times = [(a[begin_a[g] + place // n_b[g]] * self.n_b + b[begin_b[g] + place % n_b[g]])], [np.ones(len(g), "i8")]
+        pieces = [piece[g]]
+        for k in np.flatnonzero(n > 4096).tolist():  # a long group: its different ids, and products of how often they stand there
+            (i, x), (j, y) = (np.unique(z[s : s + m], return_counts=True) for z, s, m in ((a, begin_a[k], n_a[k]), (b, begin_b[k], n_b[k])))
+            keys.append((i[:, None] * self.n_b + j).ravel())
+            times.append((x[:, None] * y).ravel())
+            pieces.append(np.full(len(keys[-1]), piece[k]))
+        code, pieces = np.concatenate(keys), np.concatenate(pieces)
+        span = len(self.size_a) * self.n_b
+        key, links = _summed(pieces * span + code, np.concatenate(times))
+        return *np.divmod(key, span), links
+
+
+def quick_encoder(path: str, raw: list[bytes]):
+    """An encoder of whole texts at once with the ids of a byte-level BPE file, or None where the file's merges do not go by its ids."""
+    import public_tokenizers
+    import tiktoken
+
+    with open(path, encoding="utf-8") as f:
+        said = json.load(f)
+    vocabulary = said["model"]["vocab"]
+    merged = ["".join(m.split(" ") if isinstance(m, str) else m) for m in said["model"].get("merges", [])]
+    if not _rules(path)[0] or [vocabulary.get(m) for m in merged] != list(range(256, 256 + len(merged))) or len(vocabulary) < 256 + len(merged):
+        return None
+    ranks = {raw[i]: i for i in range(256 + len(merged))}
+    return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
 
 
 @lru_cache(1)
@@ -216,10 +298,10 @@ def aligned(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
         for b in batches:
             if len(own.said) > HELD or own.chars > HELD_CHARS:
                 own.clear()
-            numbers = [own.numbers_of(t or "") for t in b.column("text").to_pylist()]
+            numbers = own.numbers(b.column("text").to_pylist())
             n = np.array([len(x) for x in numbers])
             flat, doc = np.concatenate([*numbers, np.zeros(0, "i8")]).astype("i8"), np.repeat(np.arange(len(n)), n)
-            sizes, wrong = own.sizes(), np.zeros(len(n), bool)
+            (sizes, n_held, held_codes, held_links), wrong = own.held(), np.zeros(len(n), bool)
             wrong[doc[sizes[flat, 4] == 1]] = True
             sums = np.stack([np.bincount(doc, sizes[flat, k], len(n)).astype("i8") for k in range(4)])
             sums[:, wrong] = 0
@@ -227,14 +309,11 @@ def aligned(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
             # Different pieces of each row, then the sums of their pairs.
             each, times = np.unique((doc * len(own.said) + flat)[~wrong[doc]], return_counts=True)
             doc, piece = np.divmod(each, max(len(own.said), 1))
-            held, at = np.unique(piece, return_inverse=True)
-            size = np.array([len(own.codes[k]) for k in held.tolist()], "i8")
-            codes = np.concatenate([*(own.codes[k] for k in held.tolist()), np.zeros(0, "i8")])
-            links = np.concatenate([*(own.links[k] for k in held.tolist()), np.zeros(0, "i8")])
-            begin, n_pairs = (np.cumsum(size) - size)[at], size[at]
+            begin, n_pairs = (np.cumsum(n_held) - n_held)[piece], n_held[piece]
             place = np.arange(n_pairs.sum()) - np.repeat(np.cumsum(n_pairs) - n_pairs, n_pairs) + np.repeat(begin, n_pairs)
-            pair, names_of = np.unique(codes[place], return_inverse=True) if len(place) else (codes, place)
-            key, total = _summed(np.repeat(doc, n_pairs) * max(len(pair), 1) + names_of, links[place] * np.repeat(times, n_pairs))
+            codes, links = held_codes[place], held_links[place]
+            pair, names_of = np.unique(codes, return_inverse=True) if len(place) else (codes, place)
+            key, total = _summed(np.repeat(doc, n_pairs) * max(len(pair), 1) + names_of, links * np.repeat(times, n_pairs))
             doc, code = np.divmod(key, max(len(pair), 1))
             edge = np.searchsorted(doc, np.arange(len(n) + 1)).tolist()
             codes, links = pair[code].astype("<i8"), total.astype("<u4")

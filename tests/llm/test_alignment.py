@@ -5,6 +5,7 @@ import random
 from collections import Counter, defaultdict
 from functools import lru_cache
 
+import numpy as np
 import public_tokenizers as P
 import pytest
 import sentencepiece
@@ -103,9 +104,25 @@ def test_random_texts(spark, monkeypatch):
 def test_transducer():
     a, b = [b"ab", b"c", b"def", b"", b"x"], [b"a", b"bcd", b"ef", b"x"]
     own = t.Transducer(a, b)
-    assert own.groups([0, 1, 2, 4], [0, 1, 2, 3]) == [([0, 1, 2], [0, 1, 2]), ([4], [3])]
-    assert own.step((1, b"ab"), 0) == (1, b"b") and own.step((1, b"b"), 1) == (-1, b"cd") and own.step((-1, b"cd"), 1) == (-1, b"d")
-    assert own.groups([0], [0]) is own.groups([0], [1]) is own.groups([4], [0]) is own.groups([], [0]) is None and own.groups([], []) == []
-    before = len(own.memo)
-    own.groups([0, 1, 2, 4], [0, 1, 2, 3])
-    assert len(own.memo) == before
+    assert own.cuts([0, 1, 2, 4], [0, 1, 2, 3]) == ([3, 4], [3, 4])
+    assert own.after((1, b"ab"), 0) == (1, b"b") and own.after((1, b"b"), 1) == (-1, b"cd") and own.after((-1, b"cd"), 1) == (-1, b"d")
+    assert own.cuts([0], [0]) is own.cuts([0], [1]) is own.cuts([4], [0]) is own.cuts([], [0]) is None and own.cuts([], []) == ([], [])
+    before = own.known
+    own.cuts([0, 1, 2, 4], [0, 1, 2, 3])
+    assert own.known == before
+
+
+def test_long_groups_and_files_of_other_kinds(spark, monkeypatch):
+    """A group of thousands of tokens, and the way that takes no pieces together."""
+    rows = [(1, "漢" * 90 + "x" * 400 + " ab ab"), (2, "ab cd"), (3, "x y" * 50)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert found(t.compare(df)) == brute(rows)
+    own = t.Aligner(*t.default_paths())
+    a, b = np.arange(300) % 7, np.arange(200) % 5
+    piece, code, links = own._pairs(a, b, np.array([300]), np.array([200]), np.array([0]))
+    assert links.sum() == 60_000 and len(code) == 35 and set(piece.tolist()) == {0}
+    own.quick = None
+    other = t.Aligner(*t.default_paths())
+    for x in (own, other):
+        x.numbers([r[1] for r in rows])
+    assert own.said and {p: own.said[k] for p, k in own.number.items()} == {p: other.said[k] for p, k in other.number.items()}
