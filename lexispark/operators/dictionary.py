@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
+from itertools import accumulate
+
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.exprs import MAX_RANK, score_of_rank, size_label
+from ..sources.shared import cut
 
 CHUNK_SIZE, MAX_WORDS = 10_000, 50_000
-#: Leading characters by which words are counted on the way to their positions.
-DEPTHS = (2, 4, 6)
 
 
 def word_frequencies(texts: DataFrame, column: str = "text") -> DataFrame:
@@ -22,25 +23,17 @@ def word_frequencies(texts: DataFrame, column: str = "text") -> DataFrame:
 def ranked(frequencies: DataFrame, chunk_size: int = CHUNK_SIZE, max_chunks: int = 0) -> DataFrame:
     """Adds pos (by frequency, then word), rank, score and chunk_id.
 
-    No window spans the table. Words are counted by frequency and leading characters, two more at each of `DEPTHS`; a level's counts
-    are accumulated among those that share the level above, so such a window has a row for each pair of characters at most, however
-    many words a frequency has. Words are numbered within their deepest group. Leading characters order words as whole words do.
+    A prefix sum over sampled ranges: words are dealt to ranges of (frequency, word) and sorted there, whatever words share a frequency; a
+    word's position is its place in its range and the words of the ranges before it, of which only one count each is read. The ranges are
+    checkpointed, so that counts and positions are of the same ranges and what calls this for several tables computes words once.
     """
-    names = [f"__p{k}" for k in DEPTHS]
-    rows = frequencies.withColumns({n: F.substring("word", 1, k) for n, k in zip(names, DEPTHS, strict=True)})
-    sizes, offsets = rows.groupBy("frequency", *names).agg(F.count("*").alias("__n")), None
-    for i in reversed(range(len(names))):
-        above, own = ["frequency", *names[:i]], ["frequency", *names[: i + 1]]
-        within = W.partitionBy(*above).orderBy(names[i]) if i else W.orderBy(F.desc("frequency"), names[0])
-        before = F.coalesce(F.sum("__n").over(within.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-        level = sizes.withColumn(f"__before{i}", before).drop("__n")
-        offsets = level if offsets is None else offsets.join(level, own)
-        sizes = sizes.groupBy(*above).agg(F.sum("__n").alias("__n"))
-    offset = sum((F.col(f"__before{i}") for i in range(len(names))), F.lit(0))
-    inner = W.partitionBy("frequency", *names).orderBy("word")
-    offsets = offsets.select("frequency", *names, offset.alias("__before"))
-    out = rows.join(offsets, ["frequency", *names]).withColumn("pos", F.col("__before") + F.row_number().over(inner))
-    return positioned(out.drop("__before", *names), chunk_size, max_chunks)
+    order = [F.desc("frequency"), F.col("word")]
+    rows = frequencies.select("word", "frequency").repartitionByRange(*order).sortWithinPartitions(*order)
+    rows = cut(rows.withColumn("__at", F.monotonically_increasing_id()))
+    range_, place = F.shiftright("__at", 33).cast("int"), F.col("__at").bitwiseAND(F.lit((1 << 33) - 1))
+    counts = {r["r"]: r["n"] for r in rows.groupBy(range_.alias("r")).agg(F.count("*").alias("n")).collect()}  # one row a range
+    before = [0, *accumulate(counts.get(r, 0) for r in range(max(counts, default=-1)))]
+    return positioned(rows.withColumn("pos", F.element_at(F.lit(before), range_ + 1) + place + 1), chunk_size, max_chunks)
 
 
 def positioned(words: DataFrame, chunk_size: int = CHUNK_SIZE, max_chunks: int = 0) -> DataFrame:

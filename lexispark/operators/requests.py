@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from itertools import accumulate
 from pathlib import Path
 
 from pyspark.sql import DataFrame
@@ -59,23 +60,23 @@ def chunk_number(x) -> int | None:
         return None
 
 
-def manage(message: dict, dictionary: DataFrame, loaded: int, settings: Path | None = None) -> tuple[dict, int]:
-    """Answer to one control message, and the number of chunks that are active after it. settings: the file that is in use."""
-    chunks = d.chunk_info(dictionary)
+def reply(message: dict, sizes: list[int], loaded: int, settings: Path | None = None) -> tuple[dict, int]:
+    """Answer to one control message, and the number of chunks that are active after it. sizes: words of each chunk, in the chunks' order."""
     answer_, action = {"id": message.get("id", ""), "status": "ok"}, message.get("action")
     if action is None and "dictionary_size" in message:
         action = "set_size"
     if action == "get_info":
-        return answer_ | {"current_chunks": loaded, "available_chunks": chunks.count()}, loaded
+        return answer_ | {"current_chunks": loaded, "available_chunks": len(sizes)}, loaded
     if action == "get_options":
-        return answer_ | {"options": [r.asDict() for r in d.size_options(chunks).orderBy("chunk_count").collect()]}, loaded
+        words = accumulate(sizes)
+        return answer_ | {"options": [{"chunk_count": i, "word_count": n, "size_label": f"{n // 1000}K words"} for i, n in enumerate(words, 1)]}, loaded
     if action == "get_chunk_count" or (action is None and "get_chunk_count" in message):
-        return answer_ | {"available_chunks": chunks.count()}, loaded
+        return answer_ | {"available_chunks": len(sizes)}, loaded
     if action == "set_size":
         asked = chunk_number(message.get("chunk_count"))
         if asked is None or asked < 1:
             return answer_ | {"status": "error", "error": "invalid chunk_count"}, loaded
-        return answer_ | {"current_chunks": (n := min(asked, chunks.count()))}, n
+        return answer_ | {"current_chunks": (n := min(asked, len(sizes)))}, n
     if action == "rebuild_config":
         try:
             rebuild(settings or DEFAULT_PATH)
@@ -85,3 +86,13 @@ def manage(message: dict, dictionary: DataFrame, loaded: int, settings: Path | N
     if action == "get_config_path":
         return answer_ | {"config_path": str(settings or DEFAULT_PATH)}, loaded
     return answer_ | {"status": "error", "error": f"unknown action: {action}"}, loaded
+
+
+def chunk_sizes(dictionary: DataFrame) -> list[int]:
+    """Words of each chunk, in the chunks' order: one number a chunk."""
+    return [r["word_count"] for r in d.chunk_info(dictionary).orderBy("id").collect()]
+
+
+def manage(message: dict, dictionary: DataFrame, loaded: int, settings: Path | None = None) -> tuple[dict, int]:
+    """reply, for the chunks of a dictionary."""
+    return reply(message, chunk_sizes(dictionary), loaded, settings)

@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 from ..functions import exprs as e
 from ..operators import complete as c
 from ..operators import dictionary as d
+from ..operators import prefix_tree as t
 from ..operators import requests as q
 from ..sources import binary_chunks, word_lists
+from ..sources.shared import cut
 
 BAD_PREFIXES = ("", "12", "aaa", "don't", "١٢", "ééé", "AAa", "a b", "x" * 61, "é", "_", "1a", "aa")
 
@@ -96,12 +98,13 @@ def load_budget(spark, sf_dir):
 
 
 def request_more(spark, sf_dir):
-    chunks = chunk_info(spark, sf_dir)
+    chunks = cut(chunk_info(spark, sf_dir))
     return d.request_more(chunks, chunks.filter("id <= 2").select("id"), 15_000)
 
 
 def resize(spark, sf_dir):
-    return d.active(dictionary(spark, sf_dir), d.resize(chunk_info(spark, sf_dir), 2)).select("word", "chunk_id")
+    dict_ = dictionary(spark, sf_dir)
+    return d.active(dict_, d.resize(d.chunk_info(dict_), 2)).select("word", "chunk_id")
 
 
 def evict(spark, sf_dir):
@@ -109,7 +112,8 @@ def evict(spark, sf_dir):
 
 
 def loader_stats(spark, sf_dir):
-    return d.stats(dictionary(spark, sf_dir), chunk_info(spark, sf_dir))
+    dict_ = dictionary(spark, sf_dir)
+    return d.stats(dict_, d.chunk_info(dict_))
 
 
 def max_words(spark, sf_dir):
@@ -255,7 +259,8 @@ def loaded_ids(spark, sf_dir):
 
 
 def completer_stats(spark, sf_dir):
-    return d.completer_stats(dictionary(spark, sf_dir), chunk_info(spark, sf_dir))
+    dict_ = dictionary(spark, sf_dir)
+    return d.completer_stats(dict_, d.chunk_info(dict_))
 
 
 def simple_lower(spark, sf_dir):
@@ -301,11 +306,52 @@ def word_frequencies(spark, sf_dir):
     return words(spark, sf_dir)
 
 
+def tree_nodes(spark, sf_dir):
+    """The buckets of the prefix tree with their sizes and best words."""
+    found = t.build(dictionary(spark, sf_dir)).filter("not own")
+    return found.select("node", "parent", "leaf", "n", F.greatest(F.size("words"), F.size("best")).cast("long").alias("entries"), F.try_element_at("best", F.lit(1))["word"].alias("best"))
+
+
+def _tree_answers(spark, sf_dir, mode="reference", limit=None, walk=False):
+    dict_ = dictionary(spark, sf_dir)
+    asked = request_table(dict_)
+    if limit:
+        asked = asked.withColumn("l", limit(F.col("l")))
+    return t.complete_tree(asked, cut(t.build(dict_)), mode, walk=walk)
+
+
+def complete_tree(spark, sf_dir):
+    return c.flat(_tree_answers(spark, sf_dir))
+
+
+def complete_tree_exact(spark, sf_dir):
+    return c.flat(_tree_answers(spark, sf_dir, "exact"))
+
+
+def complete_tree_raw(spark, sf_dir):
+    """Limits of up to 2,200 words, beyond what any summary holds: the tree is walked."""
+    found = _tree_answers(spark, sf_dir, "exact", lambda l: l * 110, walk=True)  # noqa: E741
+    return found.select("id", F.size("s").cast("long").alias("c"), F.try_element_at(F.col("s"), F.lit(-1))["w"].alias("last"))
+
+
+def tree_reads(spark, sf_dir):
+    """How many entries each request of complete_tree_exact looks at."""
+    return _tree_answers(spark, sf_dir, "exact").select("id", "read")
+
+
+def complete_tree_chunks(spark, sf_dir):
+    """Lists by chunk; of the chunks the second and fourth are evicted before requests merge what the others answer."""
+    dict_ = dictionary(spark, sf_dir)
+    tree = d.evict(cut(t.build(dict_, ("chunk_id",))), 2, 4)
+    return c.flat(t.complete_tree(request_table(dict_), tree, by=("chunk_id",)))
+
+
 _ALL = (
     word_frequencies, dict_rank_score, dict_chunks, chunk_info, size_options, load_budget, request_more, resize, evict, loader_stats, max_words, add_word_merge, dup_rank_sum,
     complete_reference, complete_exact, complete_callback, complete_batch, complete_batch_exact, complete_counts, server_validate, limit_normalize, threshold, valid_input, capitalize,
     format_commas, wordlist_builder, wordlist_browser, route_requests, rank_list, contains_ci, prefix_ci, contains_digit, server_answers, binary_roundtrip,
     loaded_ids, completer_stats, simple_lower, capitalize_words, bulk_text, bulk_text_count, bulk_chunks, complete_browser, complete_raw,
+    tree_nodes, complete_tree, complete_tree_exact, complete_tree_raw, tree_reads, complete_tree_chunks,
 )
 QUERIES = {f.__name__: f for f in _ALL}
 
@@ -317,7 +363,31 @@ _BATCH = _DICT + _REQUESTS + ", k AS (SELECT id, p, l, word, score, row_number()
 _FIRST = "WHERE n <= l + l // 2"
 _BROWSER = _DICT + _REQUESTS.replace("pos % 20 + 1 AS l", "CAST({limit} AS BIGINT) AS l")+ ", k AS (SELECT id, p, l, word, score, row_number() OVER (PARTITION BY id ORDER BY score DESC, word) AS r FROM m WHERE n <= l + l // 2) "
 
+#: Buckets: leading strings of more than 256 words, and those below them. Of a bucket's words only those that reach its threshold are summarised.
+_TREE = _DICT + """,
+  x AS (SELECT word, score, n AS depth, substr(word, 1, CAST(n AS BIGINT)) AS node FROM (SELECT word, score, unnest(range(1, length(word) + 1)) AS n FROM d)),
+  s AS (SELECT node, max(depth) AS depth, count(*) AS n FROM x GROUP BY node),
+  b AS MATERIALIZED (
+    SELECT s.node, CASE WHEN depth > 1 THEN left(s.node, CAST(depth - 1 AS BIGINT)) END AS parent, n, n <= 256 AS leaf FROM s
+    WHERE depth = 1 OR left(s.node, CAST(depth - 1 AS BIGINT)) IN (SELECT node FROM s WHERE n > 256)),
+  fit AS (
+    SELECT node, count(*) AS n_ok, arg_min(word, (-score, word)) AS best FROM x SEMI JOIN (SELECT node FROM b WHERE NOT leaf) USING (node)
+    WHERE score >= """ + _THR.format("node") + """ GROUP BY node),
+  buckets AS (SELECT node, parent, leaf, n, CASE WHEN leaf THEN n ELSE least(257, coalesce(n_ok, 0)) END AS entries, best FROM b LEFT JOIN fit USING (node))
+"""
+
 ORACLE_SQL = {
+    "tree_nodes": _TREE + "SELECT * FROM buckets",
+    "complete_tree": _BATCH.replace("{where}", _FIRST) + f"SELECT id, {_CAPS.format(w='word', p='p')} AS w, r, CAST(score AS BIGINT) AS score FROM k WHERE r <= l",
+    "complete_tree_exact": _BATCH.replace("{where}", "") + f"SELECT id, {_CAPS.format(w='word', p='p')} AS w, r, CAST(score AS BIGINT) AS score FROM k WHERE r <= l",
+    "complete_tree_raw": _BATCH.replace("{where}", "").replace("pos % 20 + 1 AS l", "(pos % 20 + 1) * 110 AS l")
+    + f""", a AS (SELECT id, count(*) AS c, arg_max({_CAPS.format(w='word', p='p')}, r) AS last FROM k WHERE r <= l GROUP BY id)
+SELECT r.id, coalesce(c, 0) AS c, last FROM r LEFT JOIN a ON a.id = r.id""",
+    "tree_reads": _TREE + _REQUESTS[: _REQUESTS.index("m AS (")].rstrip().rstrip(",").replace("s AS (SELECT pos", "y AS (SELECT pos").replace("FROM s GROUP", "FROM y GROUP")
+    + """, found AS (SELECT id, max(entries) AS read FROM r JOIN buckets ON left(low, CAST(length(node) AS BIGINT)) = node AND (leaf OR node = low) GROUP BY id)
+SELECT r.id, coalesce(read, 0) AS read FROM r LEFT JOIN found ON found.id = r.id""",
+    "complete_tree_chunks": _BATCH.replace("{where}", _FIRST).replace("AS lead FROM d,", "AS lead FROM (SELECT * FROM d WHERE chunk_id NOT IN (2, 4)) AS e,")
+    + f"SELECT id, {_CAPS.format(w='word', p='p')} AS w, r, CAST(score AS BIGINT) AS score FROM k WHERE r <= l",
     "word_frequencies": _DICT + "SELECT word, frequency FROM f",
     "dict_rank_score": _DICT + "SELECT word, frequency, pos, rank, score FROM d",
     "dict_chunks": _DICT + "SELECT word, rank, chunk_id FROM d",
