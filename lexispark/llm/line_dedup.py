@@ -10,7 +10,8 @@ The tree is a set of aggregates: lines are counted once per document, equal line
 with several different lines are looked into. Joins by leaf, line and template spread the few keys that many lines have (see
 `common.join_spread`), so no task gets all lines of a leaf.
 
-Lines with fewer than `least_tokens` tokens stay. Null and empty texts have no lines to drop and stay as they are. Rows that agree in
+Lines of fewer than `SHORT` tokens are templates as they stand, without variable tokens or fields; lines of fewer than `least_tokens`
+(by default none but blank ones) stay. Null and empty texts have no lines to drop and stay as they are. Rows that agree in
 doc_id and text are one document. A document that loses all its lines stays with an empty text. Texts with any number of lines are
 handled whole; the table may have any other columns, which stay as they are, and an empty table has no rows.
 """
@@ -25,7 +26,7 @@ from pyspark.sql import functions as F
 
 from .common import batch, cut, join_spread, key_of, map_arrow, packed, unpacked
 
-LEAST_DOCS, LEAST_TOKENS, DEPTH, FIELDS, CONSTANT = 3, 5, 3, 16, 0.6
+LEAST_DOCS, LEAST_TOKENS, SHORT, DEPTH, FIELDS, CONSTANT = 3, 1, 5, 3, 16, 0.6
 _DIGIT = re.compile(rb"[0-9]")
 _MASK = b"<*>"
 
@@ -38,11 +39,13 @@ def parse(line: bytes, least_tokens: int = LEAST_TOKENS, depth: int = DEPTH, fie
     n = len(tokens)
     if n < max(1, least_tokens):
         return None
-    if _DIGIT.search(line):
+    if n >= SHORT and _DIGIT.search(line):
         tokens = [_MASK if _DIGIT.search(t) else t for t in tokens]
     signed = lambda x, bits: x - (1 << bits) if x >> (bits - 1) else x
     leaf = signed(xxhash.xxh64_intdigest(b" ".join(tokens[:depth]), n), 64)
     whole = signed(xxhash.xxh64_intdigest(b" ".join(tokens), 1), 64)
+    if n < SHORT:
+        return leaf, whole, []
     k = min(fields, n)
     cuts = [n * i // k for i in range(k + 1)]
     # A field that holds only leading tokens is the same in the whole leaf.

@@ -26,11 +26,11 @@ _LINES = rf"""
 WITH docs AS MATERIALIZED (SELECT row_number() OVER () AS d, doc_id, text, string_split(text, chr(10)) AS all_lines FROM documents),
 numbered AS (SELECT d, doc_id, unnest(all_lines) AS line, unnest(range(1, len(all_lines) + 1)) AS pos FROM docs WHERE text IS NOT NULL),
 masked AS (
-  SELECT d, doc_id, pos, list_transform(regexp_extract_all(line, {_WORD}), lambda w: CASE WHEN regexp_matches(w, '[0-9]') THEN '<*>' ELSE w END) AS line
-  FROM numbered),
-found AS MATERIALIZED (SELECT d, doc_id, [CAST(len(line) AS VARCHAR)] || line[1:3] AS leaf, line, list(pos) AS pos FROM masked WHERE len(line) >= 5 GROUP BY ALL),
+  SELECT d, doc_id, pos, list_transform(words, lambda w: CASE WHEN len(words) >= 5 AND regexp_matches(w, '[0-9]') THEN '<*>' ELSE w END) AS line
+  FROM (SELECT *, regexp_extract_all(line, {_WORD}) AS words FROM numbered)),
+found AS MATERIALIZED (SELECT d, doc_id, [CAST(len(line) AS VARCHAR)] || line[1:3] AS leaf, line, list(pos) AS pos FROM masked WHERE len(line) >= 1 GROUP BY ALL),
 each AS MATERIALIZED (SELECT leaf, line, count(*) AS n_docs FROM found GROUP BY ALL),
-cuts AS (SELECT n, i, n * (i - 1) // least(16, n) AS a, n * i // least(16, n) AS b FROM (SELECT DISTINCT len(line) AS n FROM each), range(1, 17) r(i) WHERE i <= least(16, n)),
+cuts AS (SELECT n, i, n * (i - 1) // least(16, n) AS a, n * i // least(16, n) AS b FROM (SELECT DISTINCT len(line) AS n FROM each), range(1, 17) r(i) WHERE n >= 5 AND i <= least(16, n)),
 rich AS (SELECT leaf FROM each GROUP BY leaf HAVING sum(n_docs) >= 3 AND count(*) > 1),
 spread AS MATERIALIZED (
   SELECT leaf, line, n_docs, i, line[a + 1 : b] AS field, count(*) OVER (PARTITION BY leaf, line) AS k

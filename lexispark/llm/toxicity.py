@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch, cut, held_out, map_arrow
+from .common import batch, cut, held_out, map_arrow, unpacked
 
 MOST_ROWS = 20_000
 #: A term needs so many contexts, and so many times the odds in toxic documents.
@@ -188,7 +188,7 @@ def score(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
 
 def keep_clean(docs: DataFrame, lexicon: Lexicon, at: float = 0.5) -> DataFrame:
     """Rows of docs, with their columns, whose score is below `at`."""
-    fields = docs.schema
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "text")
 
     def run(batches):
         auto = lexicon.automaton()
@@ -196,4 +196,4 @@ def keep_clean(docs: DataFrame, lexicon: Lexicon, at: float = 0.5) -> DataFrame:
             keep = pa.array([lexicon.score(matches(t or "", auto)[0]) < at for t in b.column("text").to_pylist()], pa.bool_())
             yield b.filter(keep)
 
-    return map_arrow(docs, run, fields)
+    return unpacked(map_arrow(rows, run, rows.schema), docs)

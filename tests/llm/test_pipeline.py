@@ -2,6 +2,8 @@
 
 from collections import Counter
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from lexispark.llm import bpe, chat, fingerprints, line_dedup, mixing, near_copies, quality, simhash_dedup, token_counts, token_store, toxicity
 
@@ -101,3 +103,15 @@ def test_pipeline(spark, sf_dir, texts):
     import hashlib
 
     assert Counter((r["doc_id"], r["decoded_sha256"]) for r in encoded) == Counter((r["doc_id"], hashlib.sha256((r["text"] or "").encode()).hexdigest()) for r in docs.collect())
+
+
+def test_stages_take_column_names_with_dots(spark, sf_dir, edges):
+    """Names with dots, spaces, back quotes' neighbours and those of the stages' own columns go through all stages that return documents."""
+    _, df = edges
+    odd = df.withColumnsRenamed({"score": "a.b", "key": "row"}).withColumn("x y.z", F.struct(F.lit(1).alias("k.l")))
+    docs = odd
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, sf_dir)
+        assert docs.columns == odd.columns, name
+        docs.count()
+    assert corpus_pipeline.STAGES[0][1](spark, odd, sf_dir).filter("doc_id = 6").first()["x y.z"]["k.l"] == 1
