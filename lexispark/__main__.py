@@ -39,13 +39,13 @@ def main(argv: list[str] | None = None, lines=sys.stdin, out=sys.stdout) -> int:
     from pyspark.sql import SparkSession
 
     from .operators import dictionary as d
-    from .sources import binary_chunks, word_lists
+    from .sources import binary_chunks, chunk_source, word_lists
 
     args = parser().parse_args(argv)
     spark = SparkSession.builder.appName("lexispark").getOrCreate()
     if args.what == "build":
         words = d.positioned(word_lists.read(spark, args.words), args.chunk_size, args.max_chunks)
-        binary_chunks.write(words, f"{args.folder}/chunks")
+        chunk_source.write(words, f"{args.folder}/chunks")
         binary_chunks.store(words, f"{args.folder}/store")
         if args.verbose:
             for r in d.chunk_info(words).orderBy("id").collect():

@@ -10,8 +10,9 @@ from ..operators import complete as c
 from ..operators import dictionary as d
 from ..operators import prefix_tree as t
 from ..operators import requests as q
-from ..sources import binary_chunks, word_lists
-from ..sources.shared import cut
+from ..sources import binary_chunks, chunk_source, versioned_store, word_lists
+from ..sources.shared import cut, new_folder
+from ..streaming import sessions
 
 BAD_PREFIXES = ("", "12", "aaa", "don't", "١٢", "ééé", "AAa", "a b", "x" * 61, "é", "_", "1a", "aa")
 
@@ -236,7 +237,8 @@ def contains_digit(spark, sf_dir):
 def server_answers(spark, sf_dir):
     dict_ = dictionary(spark, sf_dir)
     asked = probes(spark, sf_dir).select(F.col("p").alias("id"), "p", F.lit(5).cast("long").alias("l"))
-    return q.answer(asked, c.postings(dict_)).select("id", "status", "code", "c")
+    words_ = F.array_join(F.transform("s", lambda x: x["w"]), " ").alias("words")
+    return q.answer(asked, c.postings(dict_)).select("id", "status", "code", "c", words_)
 
 
 def binary_roundtrip(spark, sf_dir):
@@ -346,12 +348,53 @@ def complete_tree_chunks(spark, sf_dir):
     return c.flat(t.complete_tree(request_table(dict_), tree, by=("chunk_id",)))
 
 
+def chunk_headers(spark, sf_dir):
+    """Chunk files written by the data source, discovered by four bytes each."""
+    chunk_source.write(dictionary(spark, sf_dir), folder := new_folder(spark, "chunks"))
+    return chunk_source.headers(spark, folder)
+
+
+def chunk_files(spark, sf_dir):
+    """Chunk files written and read by the data source; only those of the chunks asked for are opened."""
+    chunk_source.write(dictionary(spark, sf_dir), folder := new_folder(spark, "chunks"))
+    return chunk_source.read(spark, folder, "FAILFAST").filter("chunk_id in (1, 3, 4)")
+
+
+def store_upsert(spark, sf_dir):
+    """The documents' dictionary as a store, the conversations' words over it."""
+    said = d.ranked(d.word_frequencies(spark.read.parquet(f"{sf_dir}/conversations.parquet")))
+    versioned_store.create(dictionary(spark, sf_dir), folder := new_folder(spark, "store"))
+    versioned_store.upsert(said, folder)
+    return versioned_store.read(spark, folder)
+
+
+def store_prefix(spark, sf_dir):
+    """Completion over a store of which only the files of the prefix are opened."""
+    versioned_store.create(dictionary(spark, sf_dir), folder := new_folder(spark, "store"))
+    return c.complete(versioned_store.read(spark, folder, "th"), "th", 10)
+
+
+def session_answers(spark, sf_dir):
+    """Conversations as sessions of a stream: each first sets its own number of chunks, then, after a restart, asks for what its turns begin with."""
+    dict_, folder = dictionary(spark, sf_dir), new_folder(spark, "sessions")
+    said = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    session, p = F.col("conv_id").cast("string").alias("session"), F.regexp_extract(F.lower("text"), "[a-z]{3}", 0)
+    control = said.select("conv_id").distinct().select(session, F.lit(0).alias("n"), F.lit("set").alias("id"), F.lit("set_size").alias("action"), (F.col("conv_id") % 3 + 1).cast("string").alias("chunk_count"))
+    asked = said.select(session, F.col("turn").alias("n"), F.lit("ask").alias("id"), p.alias("p"), F.lit(5).alias("l")).filter("p <> ''")
+    tree, sizes = cut(t.build(dict_, ("chunk_id",))), q.chunk_sizes(dict_)
+    for some in (control, asked):
+        some.select(F.to_json(F.struct("*")).alias("value")).write.mode("append").text(f"{folder}/in")
+        messages = sessions.read_messages(spark, f"{folder}/in")
+        sessions.serve(messages, tree, sizes, 1, f"{folder}/out", f"{folder}/checkpoint").awaitTermination()
+    return spark.read.parquet(f"{folder}/out/answers").select("session", "n", F.explode("s").alias("x")).select("session", "n", "x.w", "x.r")
+
+
 _ALL = (
     word_frequencies, dict_rank_score, dict_chunks, chunk_info, size_options, load_budget, request_more, resize, evict, loader_stats, max_words, add_word_merge, dup_rank_sum,
     complete_reference, complete_exact, complete_callback, complete_batch, complete_batch_exact, complete_counts, server_validate, limit_normalize, threshold, valid_input, capitalize,
     format_commas, wordlist_builder, wordlist_browser, route_requests, rank_list, contains_ci, prefix_ci, contains_digit, server_answers, binary_roundtrip,
     loaded_ids, completer_stats, simple_lower, capitalize_words, bulk_text, bulk_text_count, bulk_chunks, complete_browser, complete_raw,
-    tree_nodes, complete_tree, complete_tree_exact, complete_tree_raw, tree_reads, complete_tree_chunks,
+    tree_nodes, complete_tree, complete_tree_exact, complete_tree_raw, tree_reads, complete_tree_chunks, chunk_headers, chunk_files, store_upsert, store_prefix, session_answers,
 )
 QUERIES = {f.__name__: f for f in _ALL}
 
@@ -377,6 +420,21 @@ _TREE = _DICT + """,
 """
 
 ORACLE_SQL = {
+    "chunk_headers": _DICT + "SELECT CAST(id AS INTEGER) AS id, filename, word_count, CAST(4 AS BIGINT) AS bytes_read FROM c",
+    "chunk_files": _DICT + "SELECT word, CAST(rank AS INTEGER) AS rank, CAST(chunk_id AS INTEGER) AS chunk_id FROM d WHERE chunk_id IN (1, 3, 4)",
+    "store_upsert": _DICT + _SAID + """ SELECT word, rank, score, chunk_id FROM d
+UNION ALL SELECT word, least(pos, 65535), score, chunk_id FROM d2 WHERE word NOT IN (SELECT word FROM d)""",
+    "store_prefix": _top("th", 10, 15),
+    "session_answers": _DICT
+    + """, q AS (
+  SELECT row_number() OVER () AS i, CAST(conv_id AS VARCHAR) AS session, turn AS n, regexp_extract(lower(text), '[a-z]{3}') AS p, least(conv_id % 3 + 1, (SELECT count(*) FROM c)) AS active
+  FROM conversations),
+m AS (
+  SELECT i, session, n, word, score, row_number() OVER (PARTITION BY i ORDER BY word) AS k
+  FROM q JOIN d ON left(word, 3) = p AND word <> p AND chunk_id <= active AND score >= 20
+  WHERE p <> '' AND NOT """ + _REP.format("p") + """)
+SELECT session, n, word AS w, row_number() OVER (PARTITION BY i ORDER BY score DESC, word) AS r FROM m WHERE k <= 7
+QUALIFY row_number() OVER (PARTITION BY i ORDER BY score DESC, word) <= 5""",
     "tree_nodes": _TREE + "SELECT * FROM buckets",
     "complete_tree": _BATCH.replace("{where}", _FIRST) + f"SELECT id, {_CAPS.format(w='word', p='p')} AS w, r, CAST(score AS BIGINT) AS score FROM k WHERE r <= l",
     "complete_tree_exact": _BATCH.replace("{where}", "") + f"SELECT id, {_CAPS.format(w='word', p='p')} AS w, r, CAST(score AS BIGINT) AS score FROM k WHERE r <= l",
@@ -429,6 +487,16 @@ SELECT r.id, coalesce(read, 0) AS read FROM r LEFT JOIN found ON found.id = r.id
     "bulk_chunks": _DICT + "SELECT chunk_id, word, rank FROM d WHERE chunk_id < CASE WHEN EXISTS (SELECT 1 FROM d WHERE chunk_id = 4) THEN 4 ELSE 1000000 END AND chunk_id <> 2",
     "complete_browser": _BROWSER.replace("{limit}", "least(CASE WHEN (pos % 20 + 1) * 9 - 20 <= 0 THEN 20 ELSE (pos % 20 + 1) * 9 - 20 END, 128)") + f"SELECT id, {_CAPS.format(w='word', p='p')} AS w, r, count(*) OVER (PARTITION BY id) AS c FROM k WHERE r <= l",
     "complete_raw": _BROWSER.replace("{limit}", "(pos % 20 + 1) * 11") + f"SELECT id, {_CAPS.format(w='word', p='p')} AS word, CAST(score AS BIGINT) AS frequency, r AS rank FROM k WHERE r <= l",
-    "server_answers": _DICT + _PROBES.replace("WITH p AS", ", p AS") + f", a AS (SELECT p, lower(p) AS low, CASE WHEN p = '' OR strlen(p) > 60 THEN 'error' WHEN NOT {_VALID.format('p')} THEN 'empty' ELSE 'ok' END AS status FROM p), n AS (SELECT p, count(*) AS n FROM a JOIN d ON left(word, 1) = left(low, 1) AND starts_with(word, low) AND word <> low AND score >= {_THR.format('low')} WHERE status = 'ok' GROUP BY p) SELECT a.p AS id, status, CASE WHEN status = 'error' THEN CAST(400 AS BIGINT) END AS code, CASE WHEN status <> 'error' THEN CAST(least(5, coalesce(n.n, 0)) AS BIGINT) END AS c FROM a LEFT JOIN n ON n.p = a.p",
+    "server_answers": _DICT + _PROBES.replace("WITH p AS", ", p AS")
+    + f""", a AS (
+  SELECT p, lower(p) AS low, CASE WHEN p = '' OR strlen(p) > 60 THEN 'error' WHEN NOT {_VALID.format('p')} THEN 'empty' ELSE 'ok' END AS status FROM p),
+n AS (
+  SELECT p, low, word, score, row_number() OVER (PARTITION BY p ORDER BY word) AS k
+  FROM a JOIN d ON left(word, 1) = left(low, 1) AND starts_with(word, low) AND word <> low AND score >= {_THR.format('low')} WHERE status = 'ok'),
+b AS (SELECT p, word, row_number() OVER (PARTITION BY p ORDER BY score DESC, word) AS r FROM n WHERE k <= 7),
+w AS (SELECT p, count(*) AS c, string_agg({_CAPS.format(w='word', p='p')}, ' ' ORDER BY r) AS words FROM b WHERE r <= 5 GROUP BY p)
+SELECT a.p AS id, status, CASE WHEN status = 'error' THEN CAST(400 AS BIGINT) END AS code, CASE WHEN status <> 'error' THEN coalesce(c, 0) END AS c,
+  CASE WHEN status <> 'error' THEN coalesce(words, '') END AS words
+FROM a LEFT JOIN w ON w.p = a.p""",
     "binary_roundtrip": _DICT + "SELECT chunk_id, word, rank FROM d",
 }

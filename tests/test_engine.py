@@ -204,6 +204,23 @@ def test_completer(spark, tmp_path):
     own.add_word("wonder", 99_999)
     own.add_word("wo01", 1)
     assert best(own.complete("WOn", 3)) == ["WOnder"] and {r["name"]: r["value"] for r in own.stats().collect()}["totalWords"] == 26
+    # Added words leave the others' chunks as they are.
+    said = {r["name"]: r["value"] for r in own.stats().collect()}
+    assert (said["loadedChunks"], said["availableChunks"], said["maxFrequency"]) == (3, 3, 99_999)
+    assert {r["word"]: r["chunk_id"] for r in own.words.collect()} == {r["word"]: r["chunk_id"] for r in words.collect()} | {"wonder": None}
+    own.load_chunk(str(tmp_path / "bin" / "dict_0001.bin"))
+    own.add_word("wonder", 5)
+    assert {r["word"]: (r["score"], r["chunk_id"]) for r in own.words.filter("word in ('wonder', 'wo01')").collect()} == {"wonder": (99_999, None), "wo01": (65_535, 1)}
+
+
+def test_completer_folds_many_additions(spark, monkeypatch):
+    from lexispark.operators import completer
+
+    monkeypatch.setattr(completer, "HELD", 3)
+    own = TableCompleter(spark, table(spark, [("aa", 50)]))
+    for i in range(7):
+        own.add_word(f"ab{i}", 40 + i)
+    assert own.words.count() == 8 and len(own._added) == 1 and best(own.complete("ab", 2)) == ["ab2", "ab1"]
 
 
 def test_stream_of_all_messages(spark, tmp_path):
