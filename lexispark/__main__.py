@@ -1,9 +1,11 @@
-"""Command: `python -m lexispark build words.txt folder` makes chunks and a Parquet store, `python -m lexispark complete store` asks it."""
+"""Command: `python -m lexispark build words.txt folder` makes chunks and a Parquet store, `complete store` asks it, `serve store folder out` answers a stream."""
 
 from __future__ import annotations
 
 import argparse
+import signal
 import sys
+import threading
 from pathlib import Path
 
 from . import cli, config
@@ -26,9 +28,41 @@ def parser() -> argparse.ArgumentParser:
     ask.add_argument("--prmax", type=int)
     ask.add_argument("--no-filter", action="store_true")
     ask.add_argument("--words", type=int, help="words to load in whole chunks; 0 takes all")
+    serve = kinds.add_parser("serve", help="answers the JSON lines that come into a folder, until it is told to end")
+    serve.add_argument("store")
+    serve.add_argument("requests")
+    serve.add_argument("out")
+    serve.add_argument("--checkpoint", help="by default a folder of out")
+    serve.add_argument("--config")
+    serve.add_argument("--words", type=int, help="words that new sessions have, in whole chunks")
+    serve.add_argument("--once", action="store_true", help="ends when all that there is has been answered")
     return out
 
 
+def serve(spark, args: argparse.Namespace, held: config.Config, path: Path | None) -> None:
+    """Runs sessions.serve; SIGINT and SIGTERM end it after the micro-batch at work."""
+    from .operators import dictionary as d
+    from .operators import prefix_tree, requests
+    from .sources.shared import cut
+    from .streaming import sessions
+
+    words = spark.read.parquet(args.store)
+    tree, sizes = cut(prefix_tree.build(words, ("chunk_id",))), requests.chunk_sizes(words)
+    budget = held.dict.max_words if args.words is None else args.words
+    loaded = max(1, d.chunks_for_budget(d.chunk_info(words), budget).count())
+    trigger = {"availableNow": True} if args.once else {"processingTime": "1 second"}
+    query = sessions.serve(sessions.read_messages(spark, args.requests), tree, sizes, loaded, args.out, args.checkpoint or f"{args.out}/checkpoint", trigger, path, **requests.rules_of(held.server))
+    ended = threading.Event()
+    if threading.current_thread() is threading.main_thread():
+        for s in (signal.SIGINT, signal.SIGTERM):
+            signal.signal(s, lambda *_: ended.set())
+    while not query.awaitTermination(1):
+        if ended.is_set():
+            query.stop()
+    if query.exception():
+        raise query.exception()
+
+
 def rules(args: argparse.Namespace, held: config.Config) -> config.Cli:
     own = held.cli
     pick = lambda given, other: other if given is None else given
@@ -51,7 +85,10 @@ def main(argv: list[str] | None = None, lines=sys.stdin, out=sys.stdout) -> int:
             for r in d.chunk_info(words).orderBy("id").collect():
                 print(r["filename"], r["word_count"], file=out)
         return 0
-    held, _ = config.load(Path(args.config) if args.config else None)
+    held, path = config.load(Path(args.config) if args.config else None)
+    if args.what == "serve":
+        serve(spark, args, held, path)
+        return 0
     words = spark.read.parquet(args.store)
     if args.words:
         words = d.active(words, d.chunks_for_budget(d.chunk_info(words), args.words))

@@ -16,10 +16,24 @@ from ..operators import requests as q
 REQUEST = "id string, p string, l long, action string, chunk_count string, dictionary_size string, get_chunk_count string"
 
 
+def parsed(lines: DataFrame, *more: str) -> DataFrame:
+    """The columns of REQUEST, after those of `more` (session: text, n: a number), from JSON lines (value).
+
+    A field of a wrong type is null, and so are all of a line that is no JSON. Numbers lose their fractions; counts of chunks may be texts.
+    """
+    v = F.try_parse_json("value")
+    kind = lambda name: F.schema_of_variant(F.try_variant_get(v, f"$.{name}", "variant"))
+    text = lambda name: F.when(kind(name) == "STRING", F.try_variant_get(v, f"$.{name}", "string"))
+    whole = lambda name: F.when(kind(name) == "BIGINT", F.try_variant_get(v, f"$.{name}", "long"))
+    number = lambda name: F.coalesce(whole(name), F.when(kind(name).rlike("^(DOUBLE|DECIMAL)"), F.try_variant_get(v, f"$.{name}", "double").try_cast("long")))
+    either = lambda name: F.when(kind(name).rlike("^(STRING|BIGINT|DOUBLE|DECIMAL|BOOLEAN)"), F.try_variant_get(v, f"$.{name}", "string"))
+    read = {"session": text, "n": number, "id": text, "p": text, "l": number, "action": text, "chunk_count": either, "dictionary_size": either, "get_chunk_count": either}
+    return lines.select(*[read[c](c).alias(c) for c in (*more, *[x.split()[0] for x in REQUEST.split(", ")])])
+
+
 def read_requests(spark: SparkSession, folder: str, **options) -> DataFrame:
     """A stream of requests from JSON lines in files of a folder."""
-    lines = spark.readStream.options(**options).text(folder)
-    return lines.select(F.from_json("value", REQUEST).alias("m")).select("m.*")
+    return parsed(spark.readStream.options(**options).text(folder))
 
 
 def read_lines(spark: SparkSession, folder: str) -> DataFrame:

@@ -17,7 +17,9 @@ through as they come, only control messages, few by nature, are held.
 from __future__ import annotations
 
 import json
+import time
 from collections.abc import Iterator
+from pathlib import Path
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -26,10 +28,11 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..operators import prefix_tree
 from ..operators import requests as q
-from .service import REQUEST
+from .measures import BATCH, observed
+from .service import REQUEST, parsed
 
-MESSAGE = f"session string, n long, {REQUEST}"
 OUT = "session string, n long, id string, route string, p string, l long, active long, seen long, status string, error string, current_chunks long, available_chunks long, options string"
+REPLY = "session string, n long, id string, route string, status string, error string, current_chunks long, available_chunks long, options string, config_path string"
 _COLUMNS = [c.split()[0] for c in OUT.split(", ")]
 _PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 #: Actions that concern files of the host: the driver answers them.
@@ -80,8 +83,7 @@ class Sessions(StatefulProcessor):
 
 def read_messages(spark: SparkSession, folder: str, **options) -> DataFrame:
     """A stream of sessions' messages from JSON lines in files of a folder."""
-    lines = spark.readStream.options(**options).text(folder)
-    return lines.select(F.from_json("value", MESSAGE).alias("m")).select("m.*")
+    return parsed(spark.readStream.options(**options).text(folder), "session", "n")
 
 
 def annotated(messages: DataFrame, sizes: list[int], loaded: int) -> DataFrame:
@@ -92,28 +94,43 @@ def annotated(messages: DataFrame, sizes: list[int], loaded: int) -> DataFrame:
 
 
 def answers(rows: DataFrame, tree: DataFrame, **rules) -> DataFrame:
-    """session, n, id, status, error, code, s (array of w, r), c: answers to the completions among annotated rows. tree: by chunk_id."""
+    """session, n, id, status, error, code, s (array of w, r), c, read (entries looked at): answers to the completions among annotated rows. tree: by chunk_id."""
     checked = q.validate(rows.filter("route = 'completion'").select("session", "n", "id", "p", "l", "active"), **rules)
     done = prefix_tree.complete_tree(checked, tree, by=("chunk_id",), active="active")
     s = F.transform("s", lambda x: F.struct(x["w"].alias("w"), x["r"].alias("r")))
     none = F.array().cast("array<struct<w:string,r:bigint>>")
     s = F.when(F.col("status") == "ok", s).when(F.col("status") == "empty", none)
-    return done.withColumn("s", s).select("session", "n", "id", "status", "error", "code", "s", F.when(F.col("s").isNotNull(), F.size("s").cast("long")).alias("c"))
+    return done.withColumn("s", s).select("session", "n", "id", "status", "error", "code", "s", F.when(F.col("s").isNotNull(), F.size("s").cast("long")).alias("c"), "read")
 
 
-def replies(rows: DataFrame) -> DataFrame:
-    """session, n, id, route, status, error, current_chunks, available_chunks, options of the control messages among annotated rows."""
-    return rows.filter("route <> 'completion'").select("session", "n", "id", "route", "status", "error", "current_chunks", "available_chunks", "options")
+def replies(rows: DataFrame, settings: Path | None = None) -> DataFrame:
+    """REPLY: answers to the control messages among annotated rows. Those that concern the settings' file are answered here, on the driver."""
+    columns = [c.split()[0] for c in REPLY.split(", ")]
+    host, said = F.col("route").isin(*HOST), []
+    for r in rows.filter(host).orderBy("session", "n", "id").toLocalIterator():
+        answer, _ = q.reply({"id": r["id"], "action": r["route"]}, [], 0, settings)
+        said.append(tuple(({"session": r["session"], "n": r["n"], "route": r["route"]} | answer).get(c) for c in columns))
+    own = rows.filter(~host & (F.col("route") != "completion")).withColumn("config_path", F.lit(None).cast("string"))
+    return own.select(*columns).unionByName(rows.sparkSession.createDataFrame(said, REPLY)) if said else own.select(*columns)
 
 
-def serve(messages: DataFrame, tree: DataFrame, sizes: list[int], loaded: int, folder: str, checkpoint: str, **rules):
-    """Runs the stream over what there is; answers and replies of micro-batch b are in folder/answers/batch=b and folder/replies/batch=b."""
+def serve(messages: DataFrame, tree: DataFrame, sizes: list[int], loaded: int, folder: str, checkpoint: str, trigger: dict | None = None, settings: Path | None = None, **rules):
+    """Starts the stream; answers, replies and measures of micro-batch b are in folder/answers/batch=b, folder/replies/batch=b and
+    folder/measures/batch=b. Answers have t, the microseconds that the micro-batch took for each of them. trigger: Spark's triggers, by
+    default all that there is, then the end. settings: the file of the settings in use."""
 
     def batch(df: DataFrame, number: int) -> None:
-        rows = df.persist()
-        answers(rows, tree, **rules).write.mode("overwrite").parquet(f"{folder}/answers/batch={number}")
-        replies(rows).write.mode("overwrite").parquet(f"{folder}/replies/batch={number}")
+        began, rows = time.monotonic(), df.persist()
+        done, seen = observed(answers(rows, tree, **rules), words=F.col("c"), entries=F.col("read"))
+        done = done.persist()
+        n, all_ = done.count(), rows.count()
+        took = int((time.monotonic() - began) * 1e6)
+        done.withColumn("t", F.lit(took // max(n, 1)).cast("long")).write.mode("overwrite").parquet(f"{folder}/answers/batch={number}")
+        replies(rows, settings).write.mode("overwrite").parquet(f"{folder}/replies/batch={number}")
+        said = df.sparkSession.createDataFrame([(number, all_, n, all_ - n, seen.get["words"], seen.get["entries"], took)], BATCH)
+        said.drop("batch").coalesce(1).write.mode("overwrite").parquet(f"{folder}/measures/batch={number}")
+        done.unpersist()
         rows.unpersist()
 
     stream = annotated(messages, sizes, loaded).writeStream.foreachBatch(batch).outputMode("append")
-    return stream.option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return stream.option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()

@@ -264,3 +264,15 @@ def test_command(spark, tmp_path):
     assert said[:2] == [" 1. word00 (65,535)", " 2. word01 (65,534)"] and said[3] == "no suggestions"
     with pytest.raises(ValueError):
         command.main(["build", str(tmp_path / "words.txt"), str(tmp_path / "e"), "--chunk-size", "0"])
+
+
+def test_command_serves(spark, tmp_path):
+    (tmp_path / "words.txt").write_text("".join(f"word{i:02d}\t{100 - i}\n" for i in range(25)))
+    command.main(["build", str(tmp_path / "words.txt"), str(tmp_path / "d"), "--chunk-size", "10"])
+    (tmp_path / "in").mkdir()
+    for name, messages in (("a.json", [{"session": "s", "id": "1", "p": "WO", "l": 40.9}, {"session": "s", "id": "2", "action": "get_info"}]), ("b.json", [{"session": "s", "id": "3", "p": "word1", "l": 2}])):
+        (tmp_path / "in" / name).write_text("".join(json.dumps(m) + "\n" for m in messages))
+        assert command.main(["serve", str(tmp_path / "d" / "store"), str(tmp_path / "in"), str(tmp_path / "out"), "--once", "--words", "15", "--config", str(tmp_path / "words.txt")]) == 0
+    got = {r["id"]: [x["w"] for x in r["s"]] for r in spark.read.parquet(str(tmp_path / "out" / "answers")).collect()}
+    assert got == {"1": [f"WOrd{i:02d}" for i in range(20)], "3": ["word10", "word11"]}
+    assert spark.read.parquet(str(tmp_path / "out" / "replies")).first()["available_chunks"] == 3

@@ -1,13 +1,15 @@
 """Sessions whose state lies in the state store: restarts, repeated micro-batches, the order of rows."""
 
 import json
+import time
 
 import pytest
+from pyspark.sql import functions as F
 
 from lexispark.operators import complete as c
 from lexispark.operators import prefix_tree as t
 from lexispark.operators import requests as q
-from lexispark.streaming import sessions
+from lexispark.streaming import measures, service, sessions
 
 WORDS = [(f"w{i:02d}", 100 - i, 1 + i // 10) for i in range(30)]
 FILES = {
@@ -20,7 +22,7 @@ FILES = {
         {"session": "x", "n": 4, "id": "7", "p": "w", "l": 64}, {"session": "y", "n": 3, "id": "8", "p": "w", "l": 64}, {"session": "y", "n": 4, "id": "9", "action": "get_info"},
         {"session": "x", "n": 5, "id": "10", "action": "set_size", "chunk_count": "none"}, {"session": "z", "n": 1, "id": "11", "p": "", "l": 1}, {"session": "z", "n": 2, "id": "12", "action": "get_options"},
     ],
-    "c.json": [{"session": "x", "n": 6, "id": "13", "p": "w2", "l": 3}, {"session": "y", "n": 5, "id": "14", "action": "rebuild_config"}, {"session": "y", "n": 6, "id": "15", "p": "12", "l": 3}],
+    "c.json": [{"session": "x", "n": 6, "id": "13", "p": "w2", "l": 3}, {"session": "y", "n": 5, "id": "14", "action": "get_config_path"}, {"session": "y", "n": 6, "id": "15", "p": "12", "l": 3}],
 }
 
 
@@ -33,8 +35,8 @@ def held(spark):
 def run(spark, held, top, loaded=1):
     tree, sizes = held
     messages = sessions.read_messages(spark, str(top / "in"), maxFilesPerTrigger="1")
-    sessions.serve(messages, tree, sizes, loaded, str(top / "out"), str(top / "cp")).awaitTermination(300)
-    read = lambda kind: sorted(map(str, spark.read.parquet(str(top / "out" / kind)).collect()))
+    sessions.serve(messages, tree, sizes, loaded, str(top / "out"), str(top / "cp"), settings=top.parent / "config.toml").awaitTermination(300)
+    read = lambda kind: sorted(map(str, spark.read.parquet(str(top / "out" / kind)).drop("t").collect()))
     return read("answers"), read("replies")
 
 
@@ -51,13 +53,25 @@ def test_sessions_restart_and_replay(spark, held, tmp_path):
     whole, parts = tmp_path / "whole", tmp_path / "parts"
     whole.mkdir(), parts.mkdir()
     put(whole, *FILES)
-    answers, replies = run(spark, held, whole)
+    with measures.Progress(spark) as progress:
+        answers, replies = run(spark, held, whole)
+        for _ in range(100):
+            if progress.table().agg(F.sum("rows").alias("n")).first()["n"] == 15:
+                break
+            time.sleep(0.1)
+    seen = progress.table().orderBy("batch").collect()
+    assert sum(r["rows"] for r in seen) == 15 and max(r["sessions"] for r in seen) >= 3 and all(r["duration_ms"] >= 0 for r in seen)
     rows = {r["id"]: r for r in spark.read.parquet(str(whole / "out" / "answers")).collect()}
     assert {i: r["c"] for i, r in rows.items()} == {"1": 10, "5": 0, "6": 10, "7": 30, "8": 20, "11": None, "13": 3, "15": 0}
     assert [x["w"] for x in rows["13"]["s"]] == ["w20", "w21", "w22"] and rows["11"]["error"] == "empty prefix"
     said = {r["id"]: r for r in spark.read.parquet(str(whole / "out" / "replies")).collect()}
-    assert {i: (r["status"], r["current_chunks"]) for i, r in said.items()} == {"2": ("ok", 2), "3": ("ok", 3), "4": ("ok", 1), "9": ("ok", 2), "10": ("error", None), "12": ("ok", None), "14": (None, None)}
+    assert {i: (r["status"], r["current_chunks"]) for i, r in said.items()} == {"2": ("ok", 2), "3": ("ok", 3), "4": ("ok", 1), "9": ("ok", 2), "10": ("error", None), "12": ("ok", None), "14": ("ok", None)}
+    assert said["14"]["config_path"] == str(tmp_path / "config.toml")
     assert [x["word_count"] for x in json.loads(said["12"]["options"])] == [10, 20, 30]
+    # What each micro-batch had, and how long it took.
+    taken = {r["batch"]: r for r in spark.read.parquet(str(whole / "out" / "measures")).collect()}
+    assert [(taken[b]["messages"], taken[b]["completions"], taken[b]["replies"], taken[b]["words"]) for b in sorted(taken)] == [(6, 3, 3, 20), (6, 3, 3, 50), (3, 2, 1, 3)]
+    assert all(r["elapsed_us"] > 0 and r["entries"] >= r["words"] for r in taken.values()) and all(r["t"] > 0 for r in rows.values())
     # Stopped and started again after each file: the same.
     for name in FILES:
         put(parts, name)
@@ -78,3 +92,10 @@ def test_answers_are_those_of_the_active_chunks(spark, held):
         lists = c.postings(spark.createDataFrame([w for w in WORDS if w[2] <= active], "word string, score long, chunk_id long"))
         for r in q.answer(rows.filter(f"active = {active}").select("id", "p", "l"), lists).collect():
             assert got[r["id"]] == (r["status"], r["s"], r["c"])
+
+
+def test_messages_of_odd_types(spark):
+    lines = ['{"id": "1", "p": "a", "l": 2.7}', '{"id": 2, "p": 3, "l": "5"}', '{"id": "3", "l": -1.5, "chunk_count": 2, "dictionary_size": "x", "get_chunk_count": true}', "no json", "{}", '{"id": null, "p": "b", "l": 1e300}']
+    got = [tuple(r) for r in service.parsed(spark.createDataFrame([(x,) for x in lines], "value string")).select("id", "p", "l", "chunk_count", "dictionary_size", "get_chunk_count").collect()]
+    none = (None,) * 6
+    assert got == [("1", "a", 2, None, None, None), none, ("3", None, -1, "2", "x", "true"), none, none, (None, "b", None, None, None, None)]
