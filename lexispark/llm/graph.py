@@ -5,26 +5,35 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, join_spread
 
 
-def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
+#: Edges of a node from which on they are spread.
+HUB = 100_000
+
+
+def components(edges: DataFrame, most_rounds: int = 60, hub: int = HUB) -> DataFrame:
     """node, component (its smallest reachable node) for the nodes of edges (a, b: long). Loops and repeats do no harm.
 
-    A star's centre may have any degree: minima are pre-aggregated, and the join back carries one row per centre.
+    A star's centre may have any degree: minima are pre-aggregated, and the join back spreads the edges of large centres.
     """
 
     def least(e: DataFrame, node: str, other: str) -> DataFrame:
-        return e.groupBy(node).agg(F.min(other).alias("m"))
+        return e.groupBy(node).agg(F.min(other).alias("m"), F.count("*").alias("n"))
+
+    def back(e: DataFrame, m: DataFrame) -> DataFrame:
+        most = m.agg(F.max("n")).first()[0] or 0
+        return e.join(m.drop("n"), "a") if most <= hub else join_spread(e, cut(m), ["a"], "n")
 
     e = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct()
     e, before = cut(e), None
     for _ in range(most_rounds):
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        m = least(both, "a", "b").select("a", F.least("a", "m").alias("m"))
-        large = both.join(m, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
+        m = least(both, "a", "b").select("a", F.least("a", "m").alias("m"), "n")
+        large = back(both, m).filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
+        large = cut(large)
         m = least(large, "a", "b")
-        small = large.join(m, "a")
+        small = back(large, m)
         small = small.filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(m.select("a", F.col("m").alias("b"))).distinct()
         e = cut(small)
         now = tuple(e.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")), F.lit(0))).first())

@@ -385,7 +385,7 @@ def write(docs: DataFrame, folder: str, path: str | None = None, end_id: int = E
 def read(manifest: DataFrame, folder: str, doc_ids: list[int] | None = None) -> DataFrame:
     """doc_id, start (ids before it in all files), n_tokens, ids_crc32, from the files; of some doc_ids only if they are given.
 
-    Each file is read by a task of its own; of given doc_ids only the files whose range holds one are opened.
+    Files are dealt to tasks by a hash, so a task reads one or a few; of given doc_ids only the files whose range holds one are opened.
     """
     spark = manifest.sparkSession
     base = W.partitionBy("part").orderBy("roll").rowsBetween(W.unboundedPreceding, -1)

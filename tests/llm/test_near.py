@@ -230,3 +230,22 @@ def test_search(spark):
         want = {(a, b, (a ^ b).bit_count()) for a in fps[::7] for b in fps if (a ^ b).bit_count() <= radius}
         got = fingerprints.within(df, df.filter(F.col("fp").isin([x if x < 2**63 else x - 2**64 for x in fps[::7]])), radius, blocks).collect()
         assert {(r["query"] % 2**64, r["fp"] % 2**64, r["distance"]) for r in got} == want
+
+
+def test_components_with_hubs(spark):
+    """A node that most others hang on, directly or by chains, with its edges spread."""
+    edges = [(0 if i % 3 else i - 1, i) for i in range(1, 400)] + [(1000 + i, 1001 + i) for i in range(0, 20, 2)] + [(5, 5), (2000, 399)]
+    parent = {x: x for e in edges for x in e}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in edges:
+        x, y = sorted((find(a), find(b)))
+        parent[y] = x
+    df = spark.createDataFrame(edges, "a long, b long").repartition(3)
+    want = {x: find(x) for x in parent}
+    for hub in (10, graph.HUB):
+        assert {r["node"]: r["component"] for r in graph.components(df, hub=hub).collect()} == want
