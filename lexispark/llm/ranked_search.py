@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import math
 import uuid
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 
@@ -47,22 +48,17 @@ def weight(n_docs: int, frequency: int) -> int:
 
 
 def forward(docs: DataFrame) -> DataFrame:
-    """doc_id, n, terms, times: the terms of each document that has any, and how often it has each."""
+    """doc_id, n, terms (each once, joined by spaces), times (how often each stands there, unsigned 32-bit) of each document that has any."""
 
     def run(batches):
         for b in batches:
-            found = [terms(t) for t in b.column("text").to_pylist()]
-            n = np.array([len(x) for x in found], "i8")
-            coded = pa.array([t for x in found for t in x], pa.binary()).dictionary_encode()
-            codes, size = coded.indices.to_numpy().astype("i8"), max(len(coded.dictionary), 1)
-            each, times = np.unique(np.repeat(np.arange(len(n)), n) * size + codes, return_counts=True)
-            doc, code = np.divmod(each, size)
-            kept = np.flatnonzero(n)
-            edges = pa.array(np.append(np.searchsorted(doc, kept), len(doc)).astype("i4"))
-            lists = [pa.ListArray.from_arrays(edges, x) for x in (coded.dictionary.take(pa.array(code)).cast(pa.string()), pa.array(times.astype("i4")))]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id").take(pa.array(kept)), pa.array(n[kept]), *lists], names=["doc_id", "n", "terms", "times"])
+            found = [Counter(terms(t)) for t in b.column("text").to_pylist()]
+            kept = [k for k, c in enumerate(found) if c]
+            own = [found[k] for k in kept]
+            columns = [pa.array([c.total() for c in own], pa.int64()), pa.array([b" ".join(c) for c in own], pa.binary()).cast(pa.string()), pa.array([array("I", c.values()).tobytes() for c in own], pa.binary())]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id").take(pa.array(kept, pa.int64())), *columns], names=["doc_id", "n", "terms", "times"])
 
-    return map_arrow(docs.select("doc_id", "text"), run, "doc_id long, n long, terms array<string>, times array<int>")
+    return map_arrow(docs.select("doc_id", "text"), run, "doc_id long, n long, terms string, times binary")
 
 
 def index(docs: DataFrame, folder: str | None = None) -> DataFrame:
@@ -132,12 +128,12 @@ def _shards(batches, asked: pa.Array, weights: np.ndarray, n_docs: int, n_all: i
             if held and (held + b.num_rows > most or postings > POSTINGS):
                 yield shard()
                 ids, docs, found, impacts, held, postings = [], [], [], [], 0, 0
-            lists = b.column("terms")
+            lists = pc.split_pattern(b.column("terms"), " ")
             term = pc.index_in(lists.flatten(), value_set=asked)
             some = np.flatnonzero(term.is_valid().to_numpy(zero_copy_only=False))
             doc = pc.list_parent_indices(lists).to_numpy()[some].astype("i8")
             term = term.take(pa.array(some)).to_numpy().astype("i8")
-            times = b.column("times").flatten().to_numpy()[some].astype("i8")
+            times = np.frombuffer(b"".join(b.column("times").to_pylist()), "<u4")[some].astype("i8")
             m = 75 + 25 * b.column("n").to_numpy() * n_docs // n_all
             ids.append(np.stack([b.column("doc_id").is_null().to_numpy(zero_copy_only=False), pc.fill_null(b.column("doc_id"), 0).to_numpy()]))
             docs.append(doc + held)
@@ -184,7 +180,7 @@ def _searched(forward_index: DataFrame, block: list[tuple], n_docs: int, n_all:
     spark = forward_index.sparkSession
     names = sorted({t.decode() for _, _, x in block for t in x})
     wanted = spark.createDataFrame([(t,) for t in names], "term string")
-    each = forward_index.select(F.explode("terms").alias("term")).join(F.broadcast(wanted), "term")
+    each = forward_index.select(F.explode(F.split("terms", " ")).alias("term")).join(F.broadcast(wanted), "term")
     frequency = {r["term"]: r["n"] for r in each.groupBy("term").agg(F.count("*").alias("n")).collect()}  # the block's terms
     names = [t for t in names if t in frequency]
     place, weights = {t: i for i, t in enumerate(names)}, np.array([weight(n_docs, frequency[t]) for t in names], "i8")
