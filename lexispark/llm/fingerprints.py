@@ -25,7 +25,8 @@ from pyspark.sql import functions as F
 
 from .common import cut, key_of
 
-POSITIONS = 16_000
+#: Positions of a block. A lane takes 4 from each at most; the highest one must stay below 2^15, or the sum leaves the range of a long.
+POSITIONS = 8_000
 RADIUS, BLOCKS = 3, 5
 _LANES = 0x0001000100010001
 

@@ -221,6 +221,15 @@ def test_fingerprint_edges(edges, nothing, monkeypatch):
     assert fingerprints.compare(nothing).count() == 0
 
 
+def test_long_texts_of_one_heavy_word(spark):
+    """Each of 20,000 pairs votes 4 for the same bits, also for the highest lane's."""
+    texts = [" ".join(w * 26 for _ in range(20_000)) for w in "abc"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["fp"] % 2**64 for r in fingerprints.vote(df, ["doc_id"]).collect()}
+    want = {i: xxhash.xxh64_intdigest((t[:26]).encode(), xxhash.xxh64_intdigest(t[:26].encode(), 42)) for i, t in enumerate(texts)}
+    assert got == want and any(x >> 63 for x in want.values())
+
+
 def test_search(spark):
     rng = np.random.default_rng(1)
     base = [int(x) for x in rng.integers(0, 2**63, 50)]
