@@ -25,7 +25,8 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return simhash_dedup.keep_one(docs, near_copies.groups(docs))
+    """op3's fingerprints, block keys, pivot tables and distances find its components; the exact similarity of sets checks them, and edited copies beyond its radius."""
+    return simhash_dedup.keep_one(docs, near_copies.groups(docs, simhash_dedup.groups(docs)))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -2,7 +2,8 @@
 
 Texts with equal sets of shingles are one node. Each node gets `BANDS` keys, each of `ROWS` minima of its shingles' hashes under
 functions of their own; nodes that share a key are candidates, and candidates make groups. Two sets of similarity s share no key with
-chance (1 - s^ROWS)^BANDS, 0.000012 at 0.8 and less above; nothing else is left out. Every link inside a group of candidates is
+chance (1 - s^ROWS)^BANDS, 0.000012 at 0.8 and less above; nothing else is left out. Components that another method found (SimHash) may
+be given; their nodes are candidates of each other, too. Every link inside a group of candidates is
 verified by the exact similarity of the two sets, and the components of the links are the result.
 
 Sets go to their group only, which is dealt out in slots, so no task holds a group, whatever its size. In a group of several slots every
@@ -188,8 +189,16 @@ def edges(sets: DataFrame, least: float = LEAST, tile: int = TILE, tile_shingles
     return near.unionByName(to_centre).distinct()
 
 
-def groups(docs: DataFrame, size: int = SHINGLE, least: float = LEAST, tile: int = TILE, tile_shingles: int = TILE_SHINGLES) -> DataFrame:
-    """key (see key_of), doc_id, component (its smallest node) of every row."""
+def stars_of(rows: DataFrame, found: DataFrame) -> DataFrame:
+    """a, b: the nodes of each component in found (key, component), each with the smallest one. rows: key, node."""
+    met = rows.select("key", "node").distinct().join(found.select("key", F.col("component").alias("near")).distinct(), "key")
+    met = cut(met.select("node", "near").distinct())
+    centres = met.groupBy("near").agg(F.min("node").alias("b"), F.count("*").alias("n")).filter("n > 1")
+    return join_spread(met, cut(centres), ["near"], "n").select(F.col("node").alias("a"), "b")
+
+
+def groups(docs: DataFrame, found: DataFrame | None = None, size: int = SHINGLE, least: float = LEAST, tile: int = TILE, tile_shingles: int = TILE_SHINGLES) -> DataFrame:
+    """key (see key_of), doc_id, component (its smallest node) of every row. found: key and component of every row by another method, as candidates."""
 
     def sign(batches):
         for b in batches:
@@ -210,7 +219,8 @@ def groups(docs: DataFrame, size: int = SHINGLE, least: float = LEAST, tile: int
     nodes = rows.groupBy("node").agg(F.min("key").alias("one"), F.first("bands").alias("bands"), F.count("*").alias("n"))
     shared = nodes.select("node", F.explode("bands").alias("band"))
     centres = shared.groupBy("band").agg(F.min("node").alias("b"), F.count("*").alias("n")).filter("n > 1").select("band", "b")
-    candidates = components(shared.join(centres, "band").select(F.col("node").alias("a"), "b"))
+    pairs = shared.join(centres, "band").select(F.col("node").alias("a"), "b")
+    candidates = components(pairs if found is None else pairs.unionByName(stars_of(rows, found)))
     asked = rows.groupBy("node").agg(F.min("key").alias("one")).join(candidates.withColumnRenamed("component", "grp"), "node")
     texts = keyed.select("key", "text").join(asked, F.col("key") == F.col("one")).select("key", "grp", "node", "text").dropDuplicates(["key"])
     linked = components(edges(cut(map_arrow(texts, again, "grp long, node long, n long, hashes binary")), least, tile, tile_shingles))

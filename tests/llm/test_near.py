@@ -141,6 +141,23 @@ def test_near_copies(spark):
     assert sorted(r["doc_id"] for r in kept) == sorted(map(min, want))
 
 
+def test_stage_takes_the_components_of_simhash(spark, monkeypatch):
+    """What op3's method links and the sets confirm is linked where no band is shared; what they don't confirm is not."""
+    rng = np.random.default_rng(9)
+    own = lambda n: [f"w{x}" for x in rng.integers(0, 10_000, n)]
+    long, body = own(400), ["red", "green", "blue"] * 200
+    rows = [(1, " ".join(long)), (2, " ".join([*long[:-1], "end"])), (3, " ".join(body + own(12))), (4, " ".join(body + own(12))), (5, " ".join(own(40))), (6, None), (7, "")]
+    near = lambda a, b: (brute_fp(rows[a][1]) ^ brute_fp(rows[b][1])).bit_count() <= 4
+    assert near(0, 1) and near(2, 3) and not near(0, 4) and len(brute_copies(rows)) == 5
+    df = spark.createDataFrame([*rows, rows[0], (None, rows[1][1])], "doc_id long, text string")
+    monkeypatch.setattr(near_copies, "bands", lambda hashes: [])
+    for tile in (1, 2048):
+        found = near_copies.groups(df, simhash_dedup.groups(df), tile=tile)
+        assert found.count() == 9 and found.select("component").distinct().count() == 5
+    kept = corpus_pipeline.drop_near_copies(spark, df, "").collect()
+    assert sorted(r["doc_id"] for r in kept) == [1, 3, 4, 5, 6]
+
+
 def test_links_to_a_centre(spark):
     """Links between two slots as by plain sets; a group whose sets are all linked to its centre leaves nothing to compare."""
     rng = np.random.default_rng(8)
