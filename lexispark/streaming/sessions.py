@@ -21,6 +21,7 @@ import time
 from collections.abc import Iterator
 from pathlib import Path
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -34,6 +35,7 @@ from .service import REQUEST, parsed
 OUT = "session string, n long, id string, route string, p string, l long, active long, seen long, status string, error string, current_chunks long, available_chunks long, options string"
 REPLY = "session string, n long, id string, route string, status string, error string, current_chunks long, available_chunks long, options string, config_path string"
 _COLUMNS = [c.split()[0] for c in OUT.split(", ")]
+_NUMBERS = {c.split()[0] for c in OUT.split(", ") if c.endswith(" long")}
 _PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 #: Actions that concern files of the host: the driver answers them.
 HOST = ("rebuild_config", "get_config_path")
@@ -49,14 +51,20 @@ class Sessions(StatefulProcessor):
         self.state = handle.getValueState("session", "active long, seen long")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        active, seen = (int(x) for x in self.state.get()) if self.state.exists() else (self.loaded, 0)
+        state = self.state.get()
+        active, seen = (int(x) for x in state) if state else (self.loaded, 0)
         control, before = [], active
         for some in rows:
             seen += len(some)
-            asked = some[some["route"] == "completion"]
-            if len(asked):
-                yield self._rows(asked.assign(active=before))
-            control += some[some["route"] != "completion"].to_dict("records")
+            names, asked = list(some.columns), []
+            for row in some.itertuples(index=False, name=None):
+                r = dict(zip(names, row, strict=True))
+                if r["route"] == "completion":
+                    asked.append(r | {"active": before})
+                else:
+                    control.append(r)
+            if asked:
+                yield self._rows(asked)
         control.sort(key=lambda r: (pd.notna(r["n"]), r["n"] if pd.notna(r["n"]) else 0, r["id"] or ""))
         said = []
         for r in control:
@@ -68,17 +76,17 @@ class Sessions(StatefulProcessor):
                     answer["options"] = json.dumps(answer["options"])
             said.append(r | answer | {"id": r["id"], "active": before, "seen": seen})
         if said:
-            yield self._rows(pd.DataFrame(said))
+            yield self._rows(said)
         self.state.update((active, seen))
 
     @staticmethod
-    def _rows(df: pd.DataFrame) -> pd.DataFrame:
-        out = df.reindex(columns=_COLUMNS)
-        for c in ("n", "l", "active", "seen", "current_chunks", "available_chunks"):
-            out[c] = out[c].astype("Int64")
-        for c in ("session", "id", "p", "status", "error", "options"):
-            out[c] = out[c].astype(object).where(out[c].notna(), None)
-        return out
+    def _rows(rows: list[dict]) -> pd.DataFrame:
+        """OUT from messages as they are: most sessions have few in a micro-batch, so that work by column costs more than by value."""
+        value = lambda x, c: None if x is None or x != x else int(x) if c in _NUMBERS else x
+        out = np.empty((len(rows), len(_COLUMNS)), object)
+        for i, r in enumerate(rows):
+            out[i] = [value(r.get(c), c) for c in _COLUMNS]
+        return pd.DataFrame(out, columns=_COLUMNS, copy=False)
 
 
 def read_messages(spark: SparkSession, folder: str, **options) -> DataFrame:

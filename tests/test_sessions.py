@@ -3,6 +3,7 @@
 import json
 import time
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -94,6 +95,41 @@ def test_answers_are_those_of_the_active_chunks(spark, held):
             assert got[r["id"]] == (r["status"], r["s"], r["c"])
 
 
+def test_a_session_costs_by_its_messages():
+    """Few messages each, as most sessions have: values as the columns' types have them, and no columns cast for each session."""
+
+    class Held:
+        held = None
+
+        def exists(self):
+            return self.held is not None
+
+        def get(self):
+            return self.held
+
+        def update(self, x):
+            self.held = x
+
+    names = ["session", "n", "id", "p", "l", "action", "chunk_count", "dictionary_size", "get_chunk_count", "route"]
+    rows = [(None, 3.0, None, None, float("nan"), "get_info", None, None, None, "get_info"), (None, float("nan"), "4", None, None, "set_size", "2", None, None, "set_size"), (None, 2.0, "5", "w", 7.0, None, None, None, None, "completion")]
+    some, one = pd.DataFrame(rows, columns=names), sessions.Sessions([10, 10, 10], 1)
+    one.state = Held()
+    asked, said = one.handleInputRows((None,), iter([some]), None)
+    assert asked.to_dict("records") == [dict.fromkeys(asked.columns) | {"n": 2, "id": "5", "route": "completion", "p": "w", "l": 7, "active": 1}]
+    assert [(r["n"], r["id"], r["active"], r["seen"], r["current_chunks"]) for r in said.to_dict("records")] == [(None, "4", 1, 3, 2), (3, None, 1, 3, 2)] and one.state.held == (2, 3)
+    assert all(type(x) in (int, str, type(None)) for df in (asked, said) for x in df.to_numpy().ravel())
+    began = time.process_time()
+    for _ in range(300):
+        one.state = Held()
+        list(one.handleInputRows((None,), iter([some]), None))
+    took = time.process_time() - began
+    began = time.process_time()
+    for _ in range(300):
+        some.astype({c: object for c in names})
+    # Casting the columns once takes as long as about two sessions; it was done for each column of each of a session's results.
+    assert took < 6 * (time.process_time() - began)
+
+
 def test_messages_of_odd_types(spark):
     lines = ['{"id": "1", "p": "a", "l": 2.7}', '{"id": 2, "p": 3, "l": "5"}', '{"id": "3", "l": -1.5, "chunk_count": 2, "dictionary_size": "x", "get_chunk_count": true}', "no json", "{}", '{"id": null, "p": "b", "l": 1e300}']
     got = [tuple(r) for r in service.parsed(spark.createDataFrame([(x,) for x in lines], "value string")).select("id", "p", "l", "chunk_count", "dictionary_size", "get_chunk_count").collect()]
