@@ -275,3 +275,32 @@ def test_components_with_hubs(spark):
     want = {x: find(x) for x in parent}
     for hub in (10, graph.HUB):
         assert {r["node"]: r["component"] for r in graph.components(df, hub=hub).collect()} == want
+
+
+def test_components_take_tasks_by_their_edges(spark, monkeypatch):
+    """Rounds over few edges write few files, however many shuffle partitions are set; edges that are stars already take no round."""
+    parts, whole = [], graph.cut
+
+    def cut(df):
+        out = whole(df)
+        parts.append(out.rdd.getNumPartitions())
+        return out
+
+    monkeypatch.setattr(graph, "cut", cut)
+    stars = spark.createDataFrame([(i % 5, i) for i in range(5, 200)], "a long, b long")
+    path = spark.range(60).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
+    conf = {"spark.sql.shuffle.partitions": "20", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        assert {r["node"]: r["component"] for r in graph.components(stars).collect()} == {i: i % 5 for i in range(200)}
+        assert len(parts) == 1
+        for edges, most in ((graph.EDGES, 4), (7, 9)):
+            monkeypatch.setattr(graph, "EDGES", edges)
+            parts.clear()
+            assert {r["node"]: r["component"] for r in graph.components(path).collect()} == dict.fromkeys(range(61), 0)
+            assert len(parts) > 2 and parts[0] == 20 and max(parts[1:]) <= most
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
